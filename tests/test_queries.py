@@ -1,0 +1,12 @@
+import pytest
+from compare import connect, differences
+
+from pileflow import queries as Q
+
+SF = "/root/testdata/sf0.001"
+CON = connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(Q.queries()))
+def test_same_rows_as_sql(spark, name):
+    assert differences(Q.queries()[name](spark, SF), Q.oracle_sql()[name], CON) == ""
