@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def n_runs(sequences: DataFrame, letter: str = "N", compat: bool = False) -> DataFrame:
     """(name, start, stop) of every run, 0-based half-open, from (name, sequence). compat: a run at the sequence's end is lost.
 
-    The text is cut at its runs, so a row per run is made and not one per letter.
+    One linear scan of each sequence in Arrow batches: an array built up inside an expression would be copied at every run.
     """
-    runs = F.filter(F.regexp_extract_all("sequence", F.lit(f"([^{letter}]*)({letter}+)"), F.lit(0)), lambda x: F.length(x) > 0)
-    sizes = F.transform(runs, lambda x: F.struct(F.length(x).alias("whole"), F.length(F.regexp_replace(x, f"[^{letter}]", "")).alias("run")))
-    ends = F.aggregate(
-        sizes,
-        F.expr("named_struct('p', 0, 'out', cast(array() as array<struct<start:int, stop:int>>))"),
-        lambda a, z: F.struct((a["p"] + z["whole"]).alias("p"), F.concat(a["out"], F.array(F.struct((a["p"] + z["whole"] - z["run"]).alias("start"), (a["p"] + z["whole"]).alias("stop")))).alias("out")),
-        lambda a: a["out"],
-    )
-    out = sequences.select("name", F.length("sequence").alias("_n"), F.explode(ends).alias("_r")).select("name", "_r.start", "_r.stop", "_n")
-    return (out.where("stop < _n") if compat else out).drop("_n")
+    pattern = re.compile(f"{re.escape(letter)}+")
+    names = sequences.select("name").schema["name"].dataType
+    schema = T.StructType([T.StructField("name", names), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, starts, stops = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for m in pattern.finditer(text or ""):
+                    if not compat or m.end() < len(text):
+                        rows.append(i)
+                        starts.append(m.start())
+                        stops.append(m.end())
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["name", "start", "stop"])
+
+    return sequences.select("name", "sequence").mapInArrow(scan, schema)
