@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,57 @@ def _owned(lists: list[np.ndarray], bucket: int, a: slice, b: slice) -> np.ndarr
     return marks(a) @ marks(b).T < 0.5
 
 
+def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, where each list begins and ends)."""
+    c = column.combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    offsets = c.offsets.to_numpy().astype(np.int64)
+    return c.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _buckets(t: pa.Table, cosine: float):
+    """Whole buckets, in order: (rep, links, root) of members with links."""
+    keys = np.stack([t.column(i).to_numpy() for i in range(3)])
+    mine, reps, copies = (t.column(i).to_numpy() for i in (3, 4, 5))
+    values, at = _rows(t.column("v"))
+    values = values.astype(np.float64)
+    sizes = np.diff(at)
+    values /= np.repeat(np.maximum.reduceat(np.abs(values), at[:-1]), sizes)
+    values /= np.repeat(np.sqrt(np.add.reduceat(values * values, at[:-1])), sizes)
+    numbers, where = _rows(t.column("filters"))
+    edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+    out = []
+    for u, z in zip([0, *edges], [*edges, t.num_rows], strict=True):
+        if z - u > 1:
+            x = values[at[u] : at[z]].reshape(z - u, -1)
+            out.append(_bucket(keys[:, u], x, [numbers[where[i] : where[i + 1]] for i in range(u, z)], copies[u:z], mine[u:z], reps[u:z], cosine))
+    if out:
+        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["rep", "links", "root"])
+
+
+def _bucket(key: np.ndarray, x: np.ndarray, lists: list[np.ndarray], copies: np.ndarray, mine: np.ndarray, reps: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(x)
+    links, forest = np.zeros(n, np.int64), Forest(n)
+    for a in range(0, n, BLOCK):
+        for b in range(a, n, BLOCK):
+            sa, sb = slice(a, min(n, a + BLOCK)), slice(b, min(n, b + BLOCK))
+            hit = x[sa] @ x[sb].T >= cosine
+            if a == b:
+                hit &= np.triu(np.ones(hit.shape, bool), 1)
+            if key[1] != key[2]:
+                hit &= mine[sa][:, None] != mine[sb][None, :]
+            if not hit.any():
+                continue
+            hit &= _owned(lists, key[0], sa, sb)
+            links[sa] += hit @ copies[sb]
+            links[sb] += copies[sa] @ hit
+            for i in np.flatnonzero(hit.any(1)):
+                for j in np.flatnonzero(hit[i]):
+                    forest.join(a + int(i), b + int(j))
+    at = np.flatnonzero(links > 0)
+    return reps[at], links[at], reps[[forest.find(int(i)) for i in at]] if len(at) else reps[:0]
+
+
 def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, cap: float = CAP, least: int = LEAST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vec_id.
 
@@ -108,39 +160,28 @@ def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, cap:
 
     decoded = space.write(same.repartition(partitions(spark)).mapInPandas(filters, f"rep long, copies long, v array<{kind}>, filters array<long>"), "decoded")
     posted = decoded.withColumn("filter", F.explode("filters"))
-    crowd = posted.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("groups", F.ceil(F.col("n") / bucket_rows).cast("int"))
-    met = posted.join(crowd, "filter").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
+    # only filters that took very many rows are in this table
+    crowd = posted.groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("filter", F.ceil(F.col("n") / bucket_rows).cast("int").alias("groups"))
+    met = posted.join(crowd, "filter", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     met = met.select("filter", F.least("mine", "other").alias("g1"), F.greatest("mine", "other").alias("g2"), "mine", "rep", "copies", "v", "filters")
-
-    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rep", kind="stable").reset_index(drop=True)
-        x = np.array([np.asarray(v, np.float64) for v in f.v])
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        lists, copies, mine, n = [np.asarray(y) for y in f.filters], f.copies.to_numpy(), f.mine.to_numpy(), len(f)
-        links, forest = np.zeros(n, np.int64), Forest(n)
-        for a in range(0, n, BLOCK):
-            for b in range(a, n, BLOCK):
-                sa, sb = slice(a, min(n, a + BLOCK)), slice(b, min(n, b + BLOCK))
-                hit = x[sa] @ x[sb].T >= cosine
-                if a == b:
-                    hit &= np.triu(np.ones(hit.shape, bool), 1)
-                if key[1] != key[2]:
-                    hit &= mine[sa][:, None] != mine[sb][None, :]
-                if not hit.any():
-                    continue
-                hit &= _owned(lists, key[0], sa, sb)
-                links[sa] += hit @ copies[sb]
-                links[sb] += copies[sa] @ hit
-                for i in np.flatnonzero(hit.any(1)):
-                    for j in np.flatnonzero(hit[i]):
-                        forest.join(a + int(i), b + int(j))
-        root = [forest.find(i) for i in range(n)]
-        at = np.flatnonzero(links > 0)
-        return pd.DataFrame({"rep": f.rep.iloc[at].to_numpy(), "links": links[at], "root": f.rep.iloc[[root[i] for i in at]].to_numpy()})
-
-    found = space.write(met.groupBy("filter", "g1", "g2").applyInPandas(compare, "rep long, links long, root long"), "found")
+    met = met.repartition(partitions(spark), "filter", "g1", "g2").sortWithinPartitions("filter", "g1", "g2", "rep")
+
+    def compare(batches):
+        kept = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if kept is None else [*kept.to_batches(), b])
+            keys = np.stack([t.column(i).to_numpy() for i in range(3)])
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if len(new):
+                yield from _buckets(t.slice(0, new[-1]), cosine)
+                t = t.slice(new[-1])
+            kept = t
+        if kept is not None:
+            yield from _buckets(kept, cosine)
+
+    found = space.write(met.mapInArrow(compare, "rep long, links long, root long"), "found")
     space.drop("decoded")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(space, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pileflow.llm import caps, mixing, packing, secrets, token_counts, topk
+from pileflow.llm import caps, jaccard, langid, maxent, mixing, packing, quality, secrets, token_counts, topk
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -20,10 +20,14 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": lambda s, d: packing.pack(s, _docs(s, d)),
+        "op2_language_id": lambda s, d: langid.identify(s, _docs(s, d)),
         "op3_token_counts": lambda s, d: token_counts.count_tokens(_docs(s, d)),
+        "op4_quality_classifier": lambda s, d: quality.classify(s, _docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
+        "op5_lm_scoring": lambda s, d: maxent.lm_scores(s, _docs(s, d)),
         "op6_mixing": lambda s, d: mixing.mix(s, _docs(s, d))[0],
         "op7_exact_top_k": lambda s, d: topk.top_k(s, _vectors(s, d)),
         "op8_secret_scans": lambda s, d: secrets.find_secrets(_docs(s, d)),
+        "op9_ngram_jaccard_join": lambda s, d: jaccard.near_duplicates(s, _docs(s, d)),
         "op10_embedding_near_dedup": lambda s, d: caps.cap_links(s, _vectors(s, d)),
     }
 
