@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pileflow.llm.common import Batches, Workspace, hashed, mixed, partitions, words
-from pileflow.llm.components import components
+from pileflow.llm.components import Forest, components
 
 WORDS, PERCENT = 5, 75
-#: Smallest hashes of a set by which near copies are found first.
-FIRST = 6
+#: Smallest hashes of a set by which near copies are found first: pairs near by size that share AGREE of them.
+FIRST, WINDOW, AGREE = 6, 8, 2
 #: One of so many documents is asked which shingles are frequent; the list of those is bounded and orders, never decides.
-SAMPLE, OFTEN, ORDERED = 16, 3, 1 << 20
+SAMPLE, OFTEN, ORDERED = 8, 2, 1 << 21
 #: Rows of an index list that are compared at once.
 BLOCK = 256
 #: Pairs that one task checks.
@@ -58,8 +58,9 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def ordered(s: np.ndarray, often: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The prefix of a set: rare shingles by hash, then the frequent ones, most frequent last."""
-    at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
-    weight = np.where(often[at] == s, rank[at], 0) if len(often) else np.zeros(len(s), np.int64)
+    short = (s >> np.uint64(32)).astype(np.uint32)  # sets are sorted, so these are too
+    at = np.minimum(np.searchsorted(often, short), max(0, len(often) - 1))
+    weight = np.where(often[at] == short, rank[at], 0) if len(often) else np.zeros(len(s), np.int64)
     order = np.lexsort((s, weight))
     return s[order[: len(s) + (len(s) * -percent // 100) + 1]]
 
@@ -96,7 +97,7 @@ def unpacked(f: pd.DataFrame) -> list[np.ndarray]:
 def candidates(f: pd.DataFrame, chain: bool, percent: int = PERCENT) -> pd.DataFrame:
     """(a, b) of one bucket, each once: pairs that size and position leave possible and that aren't known to be together.
 
-    chain: in each list only neighbours by size, a start that joins near copies without all their pairs.
+    chain: in each list only near neighbours by size, a start that joins near copies without all their pairs.
     """
     who, comp, size, s, place = unpacked(f)
     order = np.lexsort((who, size, s))
@@ -104,8 +105,12 @@ def candidates(f: pd.DataFrame, chain: bool, percent: int = PERCENT) -> pd.DataF
     keep = np.concatenate([[True], (s[1:] != s[:-1]) | (who[1:] != who[:-1])])  # copies of one set are one member
     who, comp, size, s, place = (x[keep] for x in (who, comp, size, s, place))
     if chain:
-        i = np.flatnonzero((s[1:] == s[:-1]) & (100 * size[:-1] >= percent * size[1:]))
-        pairs = [np.stack([who[i], who[i + 1]])]
+        pairs = []
+        for k in range(1, WINDOW + 1):
+            i = np.flatnonzero((s[k:] == s[:-k]) & (100 * size[:-k] >= percent * size[k:]))
+            pairs.append(np.sort(np.stack([who[i], who[i + k]]), 0))
+        both = np.concatenate(pairs, 1)
+        return pd.DataFrame({"a": both[0], "b": both[1]})
     else:
         pairs = []
         begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -138,15 +143,17 @@ def _possible(i: np.ndarray, j: np.ndarray, who: np.ndarray, comp: np.ndarray, s
 
 
 def links_of(pairs: pd.DataFrame, sets: dict[int, np.ndarray], percent: int = PERCENT) -> tuple[list[int], list[int]]:
-    """Pairs that do link. Partners of one set are taken in order of size; where the next partner differs little from the one
+    """Pairs that do link, as a spanning forest: a pair that links before it have joined isn't looked at. Partners of one set are taken in order of size; where the next partner differs little from the one
     before, its overlap is the known one, less what it lacks and plus what it adds."""
     out_a, out_b = [], []
+    number = {i: k for k, i in enumerate(sets)}
+    forest = Forest(len(number))
     for a, part in pairs.groupby("a", sort=True):
         x, before, shared = sets[a], None, 0
         for b in sorted(part.b, key=lambda i: (len(sets[i]), i)):
             y = sets[b]
             need = needed(len(x), len(y), percent)
-            if min(len(x), len(y)) < need:
+            if min(len(x), len(y)) < need or forest.find(number[a]) == forest.find(number[b]):
                 continue
             if before is not None and len(part) > 2:
                 lacks, adds = np.setdiff1d(before, y, True), np.setdiff1d(y, before, True)
@@ -160,6 +167,7 @@ def links_of(pairs: pd.DataFrame, sets: dict[int, np.ndarray], percent: int = PE
                 got = overlap(y, x)
             before, shared = y, got
             if got >= need:
+                forest.join(number[a], number[b])
                 out_a.append(a)
                 out_b.append(b)
     return out_a, out_b
@@ -212,8 +220,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 if len(rows):
                     e = packed(nodes[rows], sizes[rows], nodes[rows], [part(found[i]) for i in rows], buckets)
                     if which:  # the sample needs whole shingles only
-                        flat = np.concatenate([found[i] for i in rows])
-                        home = (flat >> np.uint64(33)).astype(np.int64) % buckets
+                        # as an order needs no exact counts, half of each hash will do
+                        flat = (np.concatenate([found[i] for i in rows]) >> np.uint64(32)).astype(np.uint32)
+                        home = (flat >> np.uint32(1)).astype(np.int64) % buckets
                         e = pa.record_batch([pa.array(range(buckets), pa.int32()), *[pa.nulls(buckets, pa.binary())] * 4, pa.array([flat[home == i].tobytes() for i in range(buckets)], pa.binary()), pa.nulls(buckets, pa.binary())], ENTRY)
                     k = len(e)
                     e = [pa.array(e.column(0).to_numpy() + which, pa.int32()), *e.columns[1:]]
@@ -226,17 +235,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # near copies share their smallest hashes: neighbours in those lists are checked first
     first = made.where(f"bucket < {buckets}").select(*ENTRY)
     chains = first.groupBy("bucket").applyInPandas(lambda f: candidates(f, True), "a long, b long")
+    chains = chains.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
     links = checked(spark, space, docs, nodes, chains, "first")
     near = space.write(components(space, links, "near"), "near")
 
     def frequent(f: pd.DataFrame) -> pd.DataFrame:
-        s, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in f.shingles]), return_counts=True)
+        s, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in f.shingles]), return_counts=True)
         top = np.flatnonzero(n >= OFTEN)
         top = top[np.argsort(-n[top], kind="stable")][: max(1, 2 * ORDERED // buckets)]
         return pd.DataFrame({"s": [s[top].tobytes()], "n": [n[top].astype(np.int64).tobytes()]})
 
     got = made.where(f"bucket >= {buckets}").select("bucket", "shingles").groupBy("bucket").applyInPandas(frequent, "s binary, n binary").collect()
-    often = np.concatenate([np.frombuffer(r.s, np.uint64) for r in got] or [np.empty(0, np.uint64)])
+    often = np.concatenate([np.frombuffer(r.s, np.uint32) for r in got] or [np.empty(0, np.uint32)])
     rank = np.concatenate([np.frombuffer(r.n, np.int64) for r in got] or [np.empty(0, np.int64)])
     order = np.argsort(often)
     often, rank = often[order], rank[order]
