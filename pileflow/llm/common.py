@@ -61,8 +61,13 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_rows(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: Columns that operators know by name; all others are carried under names that can't clash with those they add.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def guarded(docs: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f over the documents, which returns their columns, with other columns' names put aside meanwhile."""
+    return f(docs.toDF(*[c if c in KNOWN else f"_other{i}" for i, c in enumerate(docs.columns)])).toDF(*docs.columns)
 
 
 def crc_mod(column: str, mod: int) -> str:

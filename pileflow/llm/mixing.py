@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pileflow.llm.common import Batches, Workspace, mixed
+from pileflow.llm.common import Batches, Workspace, guarded, mixed
 
 BLOCK, SLOTS, SEED, MOST = 64, 8192, 20240229, 3
 #: Parts of a source whose sizes are summed apart, so that a source with a third of all rows is many tasks' work.
@@ -144,6 +144,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options: object) ->
 
     Columns of ``docs``; n_chars is counted anew. A text taken in full twice gives two rows.
     """
+    return guarded(docs, lambda d: _mixed(spark, d, options))
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, options: dict) -> DataFrame:
     _, used, _ = mix(spark, docs, **options)
     passes = used.where("uses > 0").groupBy("doc_id", "size", "part", "place", "sid").agg(F.sort_array(F.collect_list(F.struct("first", "words", "uses"))).alias("took"))
     # rows of one id are told apart by their number of words and then by turn

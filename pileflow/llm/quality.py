@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pileflow.llm.common import Batches, crc_mod, words
+from pileflow.llm.common import Batches, crc_mod, guarded, words
 
 #: Slots of hashed words, slots of statistics after them, factors, and the bound on training rows.
 WORD_SLOTS, STATS, LEVELS, FACTORS, ROWS = 1 << 14, 14, 12, 8, 12_000
@@ -129,5 +129,5 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, mod: int =
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, columns as they are."""
-    columns = docs.columns
-    return score(docs, train(docs, labels), columns).where("score >= 0.5").select(*columns)
+    model = train(docs, labels)
+    return guarded(docs, lambda d: score(d, model, d.columns).where("score >= 0.5").drop("score"))
