@@ -24,7 +24,7 @@ SAMPLE, OFTEN, ORDERED = 8, 2, 1 << 21
 #: Rows of an index list that are compared at once.
 BLOCK = 256
 #: Pairs that one task checks.
-CHECKS = 4000
+CHECKS = 8000
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
