@@ -20,10 +20,11 @@ def parse(lines: DataFrame) -> DataFrame:
     """Rows of ``value`` to reads; positions become 0-based, ``=`` as mate reference is resolved."""
     t = F.split("value", "\t")
     rows = lines.where("not startswith(value, '@') and value != ''").select(t.alias("t")).where("size(t) >= 11")
-    i = lambda k: F.col("t")[k].try_cast("int")
-    mate = F.when(F.col("t")[6] == "=", F.col("t")[2]).otherwise(F.col("t")[6])
-    length = F.when(F.col("t")[9] == "*", 0).otherwise(F.length(F.col("t")[9]))
-    return rows.select(F.col("t")[2].alias("rname"), (i(3) - 1).alias("pos"), i(1).alias("flag"), i(4).alias("mapq"), length.alias("l_qseq"), mate.alias("mate_rname"), i(8).alias("isize"), F.col("t")[5].alias("cigar"))
+    f = lambda k: F.get("t", F.lit(k))  # noqa: E731  a filter may run after what stands above it
+    i = lambda k: f(k).try_cast("int")
+    mate = F.when(f(6) == "=", f(2)).otherwise(f(6))
+    length = F.when(f(9) == "*", 0).otherwise(F.length(f(9)))
+    return rows.select(f(2).alias("rname"), (i(3) - 1).alias("pos"), i(1).alias("flag"), i(4).alias("mapq"), length.alias("l_qseq"), mate.alias("mate_rname"), i(8).alias("isize"), f(5).alias("cigar"))
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
