@@ -23,8 +23,8 @@ FIRST, WINDOW, AGREE = 6, 8, 2
 SAMPLE, OFTEN, ORDERED = 8, 2, 1 << 21
 #: Rows of an index list that are compared at once.
 BLOCK = 256
-#: Pairs that one task checks.
-CHECKS = 8000
+#: Pairs that one task checks, and rows of an index list whose pairs with their neighbours go to one task.
+CHECKS, STRETCH = 8000, 512
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -95,9 +95,10 @@ def unpacked(f: pd.DataFrame) -> list[np.ndarray]:
 
 
 def candidates(f: pd.DataFrame, chain: bool, percent: int = PERCENT) -> pd.DataFrame:
-    """(a, b) of one bucket, each once: pairs that size and position leave possible and that aren't known to be together.
+    """(a, b, home) of one bucket: pairs that size and position leave possible and that aren't known to be together.
 
-    chain: in each list only near neighbours by size, a start that joins near copies without all their pairs.
+    chain: in each list only near neighbours by size, a start that joins near copies without all their pairs. Pairs of one
+    home share most of their sets: there it is a stretch of a list, else the set ``a``.
     """
     who, comp, size, s, place = unpacked(f)
     order = np.lexsort((who, size, s))
@@ -108,9 +109,10 @@ def candidates(f: pd.DataFrame, chain: bool, percent: int = PERCENT) -> pd.DataF
         pairs = []
         for k in range(1, WINDOW + 1):
             i = np.flatnonzero((s[k:] == s[:-k]) & (100 * size[:-k] >= percent * size[k:]))
-            pairs.append(np.sort(np.stack([who[i], who[i + k]]), 0))
-        both = np.concatenate(pairs, 1)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
+            a, b = np.sort(np.stack([who[i], who[i + k]]), 0)
+            pairs.append(np.stack([a, b, (s[i].astype(np.int64) << 30) + i // STRETCH]))
+        a, b, home = np.concatenate(pairs, 1)
+        return pd.DataFrame({"a": a, "b": b, "home": home})
     else:
         pairs = []
         begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -133,7 +135,7 @@ def candidates(f: pd.DataFrame, chain: bool, percent: int = PERCENT) -> pd.DataF
                     pairs.append(_possible(i + x, j + y, who, comp, size, place, percent))
     both = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
     both = np.unique(np.sort(both, 0), axis=1) if both.size else both
-    return pd.DataFrame({"a": both[0], "b": both[1]})
+    return pd.DataFrame({"a": both[0], "b": both[1], "home": both[0]})
 
 
 def _possible(i: np.ndarray, j: np.ndarray, who: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
@@ -174,10 +176,11 @@ def links_of(pairs: pd.DataFrame, sets: dict[int, np.ndarray], percent: int = PE
 
 
 def checked(spark: SparkSession, space: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The links (a, b) among candidate pairs. Texts of candidates go once to each task that needs them."""
+    """The links (a, b) among candidate pairs (a, b, home). Pairs of one home are checked together, so that few texts go to
+    several tasks (once to each that needs them) and a task's forest leaves out most links of a large group."""
     pairs = space.write(pairs.distinct(), f"{name}_pairs")
     tasks = max(1, pairs.count() // CHECKS + 1)
-    dealt = pairs.withColumn("task", F.pmod(F.xxhash64("a"), F.lit(tasks)).cast("int"))
+    dealt = pairs.withColumn("task", F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("int"))
     wanted = dealt.select(F.col("task").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = wanted.join(nodes.select("node", "rep"), "node")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null").join(wanted, "rep").select("to", "node", "text")
@@ -234,8 +237,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     # near copies share their smallest hashes: neighbours in those lists are checked first
     first = made.where(f"bucket < {buckets}").select(*ENTRY)
-    chains = first.groupBy("bucket").applyInPandas(lambda f: candidates(f, True), "a long, b long")
-    chains = chains.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
+    chains = first.groupBy("bucket").applyInPandas(lambda f: candidates(f, True), "a long, b long, home long")
+    chains = chains.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("home").alias("home")).where(F.col("n") >= AGREE).select("a", "b", "home")
     links = checked(spark, space, docs, nodes, chains, "first")
     near = space.write(components(space, links, "near"), "near")
 
@@ -265,7 +268,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pre = docs.select("text").mapInArrow(prefixes, "node long, n long, prefix binary").dropDuplicates(["node"])
     pre = pre.join(near, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"), "prefix")
     entries = pre.mapInArrow(index, ENTRIES)
-    pairs = entries.groupBy("bucket").applyInPandas(lambda f: candidates(f, False), "a long, b long")
+    pairs = entries.groupBy("bucket").applyInPandas(lambda f: candidates(f, False), "a long, b long, home long")
     more = checked(spark, space, docs, nodes, pairs, "more")
     # components of nodes, named by their smallest document
     joined = components(space, links.unionByName(more), "all")
