@@ -60,6 +60,10 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Has the driver's JVM forget finished queries, for only then Spark deletes their shuffle files."""
+        self.spark.sparkContext._jvm.System.gc()
+
 
 #: Columns that operators know by name; all others are carried under names that can't clash with those they add.
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")

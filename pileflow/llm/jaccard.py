@@ -17,14 +17,15 @@ from pileflow.llm.common import Batches, Workspace, hashed, mixed, partitions, w
 from pileflow.llm.components import Forest, components
 
 WORDS, PERCENT = 5, 75
-#: Smallest hashes of a set by which near copies are found first: pairs near by size that share AGREE of them.
-FIRST, WINDOW, AGREE = 6, 8, 2
+#: Stars join near copies before their pairs are listed: in the lists of a set's LAST most frequent prefix shingles it is
+#: paired with the HUBS members that hold the shingle at the earliest position, those with the least of their own.
+LAST, HUBS = 12, 4
 #: One of so many documents is asked which shingles are frequent; the list of those is bounded and orders, never decides.
 SAMPLE, OFTEN, ORDERED = 8, 2, 1 << 21
 #: Rows of an index list that are compared at once.
 BLOCK = 256
-#: Pairs that one task checks, and rows of an index list whose pairs with their neighbours go to one task.
-CHECKS, STRETCH = 8000, 512
+#: Pairs that one task checks.
+CHECKS = 8000
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -94,45 +95,55 @@ def unpacked(f: pd.DataFrame) -> list[np.ndarray]:
     return [np.repeat(nodes, each), np.repeat(comps, each), np.repeat(sizes, each).astype(np.int64), s, place.astype(np.int64)]
 
 
-def candidates(f: pd.DataFrame, chain: bool, percent: int = PERCENT) -> pd.DataFrame:
-    """(a, b, home) of one bucket: pairs that size and position leave possible and that aren't known to be together.
-
-    chain: in each list only near neighbours by size, a start that joins near copies without all their pairs. Pairs of one
-    home share most of their sets: there it is a stretch of a list, else the set ``a``.
-    """
-    who, comp, size, s, place = unpacked(f)
-    order = np.lexsort((who, size, s))
-    who, comp, size, s, place = (x[order] for x in (who, comp, size, s, place))
-    keep = np.concatenate([[True], (s[1:] != s[:-1]) | (who[1:] != who[:-1])])  # copies of one set are one member
-    who, comp, size, s, place = (x[keep] for x in (who, comp, size, s, place))
-    if chain:
-        pairs = []
-        for k in range(1, WINDOW + 1):
-            i = np.flatnonzero((s[k:] == s[:-k]) & (100 * size[:-k] >= percent * size[k:]))
-            a, b = np.sort(np.stack([who[i], who[i + k]]), 0)
-            pairs.append(np.stack([a, b, (s[i].astype(np.int64) << 30) + i // STRETCH]))
-        a, b, home = np.concatenate(pairs, 1)
-        return pd.DataFrame({"a": a, "b": b, "home": home})
-    else:
-        pairs = []
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        end = np.append(begin[1:], len(s))
-        two = begin[end - begin == 2]
-        pairs.append(_possible(two, two + 1, who, comp, size, place, percent))
-        for a, z in zip(begin[end - begin > 2], end[end - begin > 2], strict=True):
-            if comp[a] == comp[z - 1] and (comp[a:z] == comp[a]).all():
-                continue
-            left = size[a:z] - place[a:z]  # what a member can still share from here on
-            for i in range(a, z, BLOCK):
-                i2 = min(z, i + BLOCK)
-                # sizes ascend: blocks whose smallest member is too large for this block's largest are skipped, and all after
-                last = a + int(np.searchsorted(size[a:z], 100 * size[i2 - 1] // percent, side="right"))
-                for j in range(i, last, BLOCK):
-                    j2 = min(last, j + BLOCK)
-                    if min(left[i - a : i2 - a].max(), left[j - a : j2 - a].max()) < needed(int(size[i]), int(size[j]), percent):
-                        continue
-                    x, y = np.nonzero((comp[i:i2, None] != comp[None, j:j2]) & (np.arange(i, i2)[:, None] < np.arange(j, j2)[None, :]))
-                    pairs.append(_possible(i + x, j + y, who, comp, size, place, percent))
+def members(f: pd.DataFrame, *by: int) -> list[np.ndarray]:
+    """Index entries of a bucket, list by list in order of these columns; copies of one set are one member."""
+    cols = unpacked(f)
+    order = np.lexsort((cols[0], *[cols[k] for k in by], cols[3]))
+    cols = [x[order] for x in cols]
+    keep = np.concatenate([[True], (cols[3][1:] != cols[3][:-1]) | (cols[0][1:] != cols[0][:-1])])
+    return [x[keep] for x in cols]
+
+
+def stars(f: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """(a, b, home) of one bucket: sets and the hubs of their last lists, as many pairs as there are sets at most, times
+    LAST and HUBS. They only save work: pairs that they leave out are listed by candidates. home is the set, not the hub."""
+    who, _, size, s, place = members(f, 4)
+    begin = np.concatenate([[True], s[1:] != s[:-1]])
+    start = np.flatnonzero(begin)[np.cumsum(begin) - 1]
+    last = place >= size + size * -percent // 100 + 1 - LAST
+    pairs = [np.empty((3, 0), np.int64)]
+    for k in range(HUBS):
+        i = np.flatnonzero(last & (start + k < np.arange(len(s))))
+        hub = start[i] + k
+        fits = np.minimum(size[i], size[hub]) >= needed(size[i], size[hub], percent)
+        i, hub = i[fits], hub[fits]
+        pairs.append(np.concatenate([np.sort(np.stack([who[i], who[hub]]), 0), who[i][None]]))
+    a, b, home = np.unique(np.concatenate(pairs, 1), axis=1)
+    return pd.DataFrame({"a": a, "b": b, "home": home})
+
+
+def candidates(f: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """(a, b, home) of one bucket: pairs that size and position leave possible and that aren't known to be together."""
+    who, comp, size, s, place = members(f, 2)
+    pairs = []
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    end = np.append(begin[1:], len(s))
+    two = begin[end - begin == 2]
+    pairs.append(_possible(two, two + 1, who, comp, size, place, percent))
+    for a, z in zip(begin[end - begin > 2], end[end - begin > 2], strict=True):
+        if comp[a] == comp[z - 1] and (comp[a:z] == comp[a]).all():
+            continue
+        left = size[a:z] - place[a:z]  # what a member can still share from here on
+        for i in range(a, z, BLOCK):
+            i2 = min(z, i + BLOCK)
+            # sizes ascend: blocks whose smallest member is too large for this block's largest are skipped, and all after
+            last = a + int(np.searchsorted(size[a:z], 100 * size[i2 - 1] // percent, side="right"))
+            for j in range(i, last, BLOCK):
+                j2 = min(last, j + BLOCK)
+                if min(left[i - a : i2 - a].max(), left[j - a : j2 - a].max()) < needed(int(size[i]), int(size[j]), percent):
+                    continue
+                x, y = np.nonzero((comp[i:i2, None] != comp[None, j:j2]) & (np.arange(i, i2)[:, None] < np.arange(j, j2)[None, :]))
+                pairs.append(_possible(i + x, j + y, who, comp, size, place, percent))
     both = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
     both = np.unique(np.sort(both, 0), axis=1) if both.size else both
     return pd.DataFrame({"a": both[0], "b": both[1], "home": both[0]})
@@ -177,7 +188,7 @@ def links_of(pairs: pd.DataFrame, sets: dict[int, np.ndarray], percent: int = PE
 
 def checked(spark: SparkSession, space: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The links (a, b) among candidate pairs (a, b, home). Pairs of one home are checked together, so that few texts go to
-    several tasks (once to each that needs them) and a task's forest leaves out most links of a large group."""
+    several tasks (once to each that needs them)."""
     pairs = space.write(pairs.distinct(), f"{name}_pairs")
     tasks = max(1, pairs.count() // CHECKS + 1)
     dealt = pairs.withColumn("task", F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("int"))
@@ -197,6 +208,7 @@ def checked(spark: SparkSession, space: Workspace, docs: DataFrame, nodes: DataF
     out = dealt.groupBy("task").cogroup(texts.groupBy("to")).applyInPandas(check, "a long, b long")
     out = space.write(out, f"{name}_links")
     space.drop(f"{name}_pairs")
+    space.release()
     return out
 
 
@@ -208,47 +220,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     space, buckets = Workspace(spark, "jaccard"), 2 * partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_shingles", "node", *ENTRY]
+    names = ["doc_id", "n_shingles", "node", "bucket", "shingles"]
 
     def sets(batches: Batches) -> Batches:
         for b in batches:
             found = [shingles(t.as_py()) for t in b.column(1)]
             nodes = np.array([node(s) for s in found], np.int64)
             sizes = np.array([len(s) for s in found], np.int64)
-            none = [pa.nulls(len(found), t) for t in (pa.int32(), *[pa.binary()] * 6)]
+            none = [pa.nulls(len(found), t) for t in (pa.int32(), pa.binary())]
             yield pa.record_batch([b.column(0), pa.array(sizes), pa.array(nodes), *none], names)
             has = np.flatnonzero(sizes)
             picked = [i for i in has if mixed(nodes[i : i + 1].astype(np.uint64))[0] % np.uint64(SAMPLE) == 0]
-            for which, rows, part in ((0, has, lambda s: s[:FIRST]), (buckets, picked, lambda s: s)):
-                if len(rows):
-                    e = packed(nodes[rows], sizes[rows], nodes[rows], [part(found[i]) for i in rows], buckets)
-                    if which:  # the sample needs whole shingles only
-                        # as an order needs no exact counts, half of each hash will do
-                        flat = (np.concatenate([found[i] for i in rows]) >> np.uint64(32)).astype(np.uint32)
-                        home = (flat >> np.uint32(1)).astype(np.int64) % buckets
-                        e = pa.record_batch([pa.array(range(buckets), pa.int32()), *[pa.nulls(buckets, pa.binary())] * 4, pa.array([flat[home == i].tobytes() for i in range(buckets)], pa.binary()), pa.nulls(buckets, pa.binary())], ENTRY)
-                    k = len(e)
-                    e = [pa.array(e.column(0).to_numpy() + which, pa.int32()), *e.columns[1:]]
-                    yield pa.record_batch([pa.nulls(k, b.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *e], names)
-
-    made = space.write(docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n_shingles long, node long, {ENTRIES}"), "sets")
-    own = made.where("bucket is null").select("doc_id", "n_shingles", "node")
+            if picked:
+                # as an order needs no exact counts, half of each hash will do
+                flat = (np.concatenate([found[i] for i in picked]) >> np.uint64(32)).astype(np.uint32)
+                home = (flat >> np.uint32(1)).astype(np.int64) % buckets
+                none = [pa.nulls(buckets, t) for t in (b.column(0).type, pa.int64(), pa.int64())]
+                yield pa.record_batch([*none, pa.array(range(buckets), pa.int32()), pa.array([flat[home == i].tobytes() for i in range(buckets)], pa.binary())], names)
+
+    made = space.write(docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n_shingles long, node long, bucket int, shingles binary"), "sets")
+    own = space.write(made.where("bucket is null").select("doc_id", "n_shingles", "node"), "own")
     nodes = space.write(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
 
-    # near copies share their smallest hashes: neighbours in those lists are checked first
-    first = made.where(f"bucket < {buckets}").select(*ENTRY)
-    chains = first.groupBy("bucket").applyInPandas(lambda f: candidates(f, True), "a long, b long, home long")
-    chains = chains.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("home").alias("home")).where(F.col("n") >= AGREE).select("a", "b", "home")
-    links = checked(spark, space, docs, nodes, chains, "first")
-    near = space.write(components(space, links, "near"), "near")
-
     def frequent(f: pd.DataFrame) -> pd.DataFrame:
         s, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in f.shingles]), return_counts=True)
         top = np.flatnonzero(n >= OFTEN)
         top = top[np.argsort(-n[top], kind="stable")][: max(1, 2 * ORDERED // buckets)]
         return pd.DataFrame({"s": [s[top].tobytes()], "n": [n[top].astype(np.int64).tobytes()]})
 
-    got = made.where(f"bucket >= {buckets}").select("bucket", "shingles").groupBy("bucket").applyInPandas(frequent, "s binary, n binary").collect()
+    got = made.where("bucket is not null").select("bucket", "shingles").groupBy("bucket").applyInPandas(frequent, "s binary, n binary").collect()
+    space.drop("sets")
     often = np.concatenate([np.frombuffer(r.s, np.uint32) for r in got] or [np.empty(0, np.uint32)])
     rank = np.concatenate([np.frombuffer(r.n, np.int64) for r in got] or [np.empty(0, np.int64)])
     order = np.argsort(often)
@@ -265,10 +266,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
                 yield packed(cols[0], cols[1], cols[2], [np.frombuffer(x.as_py(), np.uint64) for x in b.column(3)], buckets)
 
-    pre = docs.select("text").mapInArrow(prefixes, "node long, n long, prefix binary").dropDuplicates(["node"])
+    pre = space.write(docs.select("text").mapInArrow(prefixes, "node long, n long, prefix binary").dropDuplicates(["node"]), "prefixes")
+    # first each set with the hubs of its lists, then all that these haven't joined
+    alone = pre.select("node", "n", F.col("node").alias("comp"), "prefix").mapInArrow(index, ENTRIES)
+    star = alone.groupBy("bucket").applyInPandas(lambda f: stars(f), "a long, b long, home long")
+    links = checked(spark, space, docs, nodes, star.groupBy("a", "b").agg(F.min("home").alias("home")), "first")
+    near = space.write(components(space, links, "near"), "near")
     pre = pre.join(near, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"), "prefix")
     entries = pre.mapInArrow(index, ENTRIES)
-    pairs = entries.groupBy("bucket").applyInPandas(lambda f: candidates(f, False), "a long, b long, home long")
+    pairs = entries.groupBy("bucket").applyInPandas(lambda f: candidates(f), "a long, b long, home long")
     more = checked(spark, space, docs, nodes, pairs, "more")
     # components of nodes, named by their smallest document
     joined = components(space, links.unionByName(more), "all")
