@@ -128,6 +128,17 @@ def test_language_model(spark, docs, empty, plain):
     assert maxent.lm_scores(spark, empty).count() == 0
 
 
+def test_language_model_learns_from_every_document(spark):
+    texts = [(i, f"left{i} right{i} the") for i in range(60)]
+    train = spark.createDataFrame(texts, "doc_id long, text string")
+    c, start = maxent.frequent(maxent.count_words(maxent.Workspace(spark, "test"), train, 4))
+    m = maxent.train_rounds(train, c, start)
+    for _, text in texts:
+        rows, last = maxent.contexts(maxent.tokens(text))
+        assert np.abs(m.by_class[rows[2, 1]]).max() > 0, text
+        assert np.abs((m.by_word - start.by_word).reshape(maxent.WORD_ROWS, -1)[last[2]]).max() > 0, text
+
+
 def test_mixing(spark, docs, empty, plain):
     got = mixing.mix(spark, docs, block=8)[0].collect()
     size = {None: 0} | {}
