@@ -188,6 +188,18 @@ def test_secrets(docs, empty, plain):
     assert secrets.redact(docs).where("doc_id = 13 and text like '%hunter22x%'").count() == 0
 
 
+def test_secrets_deep_in_compressed_layers():
+    inner, filler = "token=abcdef123456", "é many words " * 400_000
+    nested = base64.b64encode(("x y " * 400_000 + inner).encode()).decode()
+    assert len(filler.encode()) > 1 << 22
+    for data in (gzip.compress((filler + inner).encode()), zlib.compress((inner + " " + filler).encode()), gzip.compress(b"one ") + gzip.compress(inner.encode()), gzip.compress((filler + nested).encode())):
+        layer = base64.b64encode(data).decode()
+        assert ("assign", 4, 4 + len(layer)) in secrets.secrets(f"see {layer} here")[1]
+    for fill in range(secrets.PIECE - 24, secrets.PIECE + 1):
+        layer = base64.b64encode(gzip.compress(("a " * fill)[:fill].encode() + b" token  =  abcdef123456 b")).decode()
+        assert ("assign", 0, len(layer)) in secrets.secrets(layer)[1], fill
+
+
 def test_jaccard(spark, docs, empty, plain):
     got = jaccard.near_duplicates(spark, docs).collect()
     sets = {r.doc_id: brute.shingles(r.text) for r in plain if r.doc_id is not None}
