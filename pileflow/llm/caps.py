@@ -12,7 +12,7 @@ from pileflow.llm.common import Workspace, partitions
 from pileflow.llm.components import Forest, components
 
 #: Parts of a vector, code words of each part, and the filters that every vector gets at least.
-PARTS, WORDS, LEAST = 4, 32, 16
+PARTS, WORDS, LEAST = 4, 32, 24
 #: In standard deviations of a filter's inner product: all filters above it take the vector.
 CAP = 3.9
 #: Rows of a bucket that one task compares; larger buckets are compared piece by piece.

@@ -227,6 +227,18 @@ def test_caps(spark):
     assert caps.cap_links(spark, good.limit(0)).count() == 0
 
 
+def test_caps_share_filters_near_the_threshold():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    mine = caps.decode(x, *caps.codes(64))
+    for c in (0.9, 0.905, 0.91, 0.92):
+        other = caps.decode(c * x + math.sqrt(1 - c * c) * y, *caps.codes(64))
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, other, strict=True)]) >= 0.9, c
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
