@@ -200,6 +200,14 @@ def test_secrets_deep_in_compressed_layers():
         assert ("assign", 0, len(layer)) in secrets.secrets(layer)[1], fill
 
 
+def test_secrets_in_layers_of_mixed_bytes():
+    inner = "token=abcdef123456"
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    datas = [b"caf\xe9 " + inner.encode(), bytes(range(256)) + inner.encode() + b"\xff\x00", inner.encode("utf-16"), inner.encode("utf-16-be"), b"\x01" + inner.encode("utf-16-le"), raw.compress(inner.encode()) + raw.flush(), gzip.compress(inner.encode("utf-16"))]
+    for layer in ("caf%E9?password%3Dhunter2222", *(base64.b64encode(d).decode() for d in datas)):
+        assert ("assign", 4, 4 + len(layer)) in secrets.secrets(f"see {layer} here")[1], layer
+
+
 def test_jaccard(spark, docs, empty, plain):
     got = jaccard.near_duplicates(spark, docs).collect()
     sets = {r.doc_id: brute.shingles(r.text) for r in plain if r.doc_id is not None}
