@@ -39,14 +39,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def runs(batches: Batches, keys: int = 1) -> Iterator[pa.Table]:
+    """Rows that follow each other with the same first ``keys`` columns, as one table each; one run at a time is in memory."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(b.num_rows - 1, bool)
+        for x in columns:
+            new |= x[1:] != x[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for a, z in zip(edges, edges[1:], strict=False):
+            key = tuple(x[a] for x in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Workspace:
     """Tables written to the folder of spark.checkpoint.dir, which driver and executors share: they cut lineage and survive lost executors.
 
-    Only where that setting is missing, as in local tests, a temporary folder takes its place.
+    Where that setting is missing a temporary folder takes its place if all runs on one machine; on a cluster this raises.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         self.spark, self.path = spark, f"{base or tempfile.mkdtemp(prefix='pileflow-')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -54,15 +79,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
-        """Deletes a table that nothing reads any more, or all of them."""
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Has the driver's JVM forget finished queries, for only then Spark deletes their shuffle files."""
-        self.spark.sparkContext._jvm.System.gc()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Columns that operators know by name; all others are carried under names that can't clash with those they add.

@@ -210,13 +210,72 @@ def test_secrets_in_layers_of_mixed_bytes():
 
 def test_jaccard(spark, docs, empty, plain):
     got = jaccard.near_duplicates(spark, docs).collect()
-    sets = {r.doc_id: brute.shingles(r.text) for r in plain if r.doc_id is not None}
+    # rows with a null id link like others and never name a component
+    sets = {1000 + k if r.doc_id is None else r.doc_id: brute.shingles(r.text) for k, r in enumerate(plain)}
     want = brute.grouped(sets, brute.jaccard_links(sets))
     assert len(got) == len(plain)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {i: (len(s), want[i]) for i, s in sets.items() if i < 1000}
     assert jaccard.near_duplicates(spark, empty).count() == 0
     kept = jaccard.deduplicated(spark, docs)
     assert kept.columns == docs.columns and {1, 4, 5, 6} <= {r.doc_id for r in kept.collect()} and kept.where("doc_id in (2, 10)").count() == 0
+    assert jaccard.deduplicated(spark, empty).count() == 0
+
+
+def test_jaccard_of_null_ids_long_texts_and_crowded_lists(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hot = [f"h{i}" for i in range(40)]
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 300, rng.integers(6, 120))]
+        for _ in range(int(rng.choice([1, 2, 8]))):
+            w = list(base)
+            for _ in range(rng.integers(0, 4)):
+                w[rng.integers(len(w))] = f"x{rng.integers(9)}"
+            texts.append(" ".join(w + hot if rng.random() < 0.4 else w))
+    for _ in range(150):
+        w = list(hot)
+        for _ in range(rng.integers(0, 3)):
+            w[rng.integers(40)] = f"x{rng.integers(9)}"
+        texts.append(" ".join(w))
+    long = " ".join(f"v{x}" for x in rng.integers(0, 50_000, 200_000))
+    texts += [long, long.replace("v77 ", "v78 "), "", "two words"]
+    sets = dict(enumerate(map(brute.shingles, texts)))
+    want = brute.grouped(sets, brute.jaccard_links(sets))
+    null = [(None, texts[0] + " more"), (None, "words without an id and without a like"), (None, "words without an id and without a like")]
+    table = spark.createDataFrame([*enumerate(texts), *null], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(jaccard, "ENTRIES", 2000)
+    got = jaccard.near_duplicates(spark, table, 20).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted([str(want[0]), "None", "None"])
+    kept = jaccard.deduplicated(spark, table).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i in want if want[i] == i)
+    assert [r.text for r in kept if r.doc_id is None] == [null[1][1]]
+
+
+def test_signatures_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 63, 64, 65, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        for m in (n // 8, n // 2, 2 * n):
+            b = np.unique(np.concatenate([a[m // 2 :], rng.integers(0, 1 << 62, m, dtype=np.uint64)]))
+            if len(b):
+                assert jaccard.apart(jaccard.signature(a), jaccard.signature(b)) <= len(np.setxor1d(a, b))
+
+
+def test_answers_derived_from_a_similar_set(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << 62, 200, dtype=np.uint64)) for _ in range(6)]
+    sets = {10 * k + c: np.unique(np.concatenate([b[c:], base[(k + 1) % 6][: 100 + c]])) for k, b in enumerate(base) for c in range(8)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    asked = []
+    direct = jaccard.overlap
+    monkeypatch.setattr(jaccard, "overlap", lambda a, b: asked.append(1) or direct(a, b))
+    import pandas as pd
+
+    a, b = jaccard.links_of(pd.DataFrame(pairs, columns=["a", "b"]), sets)
+    links = [(x, y) for x, y in pairs if (got := direct(sets[x], sets[y])) >= jaccard.needed(len(sets[x]), len(sets[y]))]
+    assert brute.grouped(sets, zip(a, b, strict=True)) == brute.grouped(sets, links)
+    assert len(asked) < len(pairs) // 2
 
 
 def test_caps(spark):
