@@ -203,9 +203,46 @@ def test_secrets_deep_in_compressed_layers():
 def test_secrets_in_layers_of_mixed_bytes():
     inner = "token=abcdef123456"
     raw = zlib.compressobj(9, zlib.DEFLATED, -15)
-    datas = [b"caf\xe9 " + inner.encode(), bytes(range(256)) + inner.encode() + b"\xff\x00", inner.encode("utf-16"), inner.encode("utf-16-be"), b"\x01" + inner.encode("utf-16-le"), raw.compress(inner.encode()) + raw.flush(), gzip.compress(inner.encode("utf-16"))]
-    for layer in ("caf%E9?password%3Dhunter2222", *(base64.b64encode(d).decode() for d in datas)):
-        assert ("assign", 4, 4 + len(layer)) in secrets.secrets(f"see {layer} here")[1], layer
+    datas = [b"caf\xe9 " + inner.encode(), bytes(range(256)) + inner.encode() + b"\xff\x00", inner.encode("utf-16"), inner.encode("utf-16-be"), b"\x01" + inner.encode("utf-16-le")]
+    whole = [raw.compress(inner.encode()) + raw.flush(), gzip.compress(inner.encode("utf-16")), b"abc" + gzip.compress(inner.encode())]
+    assert secrets.secrets("see caf%E9?password%3Dhunter2222 here")[1] == [("assign", 11, 32)]
+    for data in datas:
+        layer = base64.b64encode(data).decode()
+        wide = 2 if len(data.replace(b"\0", b"")) < len(data) - 2 else 1
+        got = secrets.secrets(f"see {layer} here")[1]
+        # the characters that hold the secret's bytes, and no more than those; UTF-16 may be read from either byte
+        assert 1 <= len(got) <= wide
+        assert all(kind == "assign" and 4 <= a < z <= 4 + len(layer) and abs((z - a) - len(inner) * wide * 4 / 3) <= 3 for kind, a, z in got), data
+    for data in whole:
+        layer = base64.b64encode(data).decode()
+        assert ("assign", 4, 4 + len(layer)) in secrets.secrets(f"see {layer} here")[1], data
+
+
+def test_secrets_map_to_their_own_characters():
+    one = lambda t: [t[a:z] for _, a, z in secrets.secrets(t)[1]]
+    assert secrets.secrets("xx https://x.org/?q=%20a&token=abcdef1234&z=1")[1] == [("assign", 25, 41)]
+    assert one("say password %3D hunter2222 \u65e5 %C3%A9 token%3Dabcdef99 x") == ["password %3D hunter2222", "token%3Dabcdef99"]
+    assert one("é日本 \\u0074oken=abcdef99 x") == ["\\u0074oken=abcdef99"]
+    layer = base64.b64encode(b"token=abcdef123456").decode()
+    for before in ("/path/", "/a/", "x/", "abc/d"):
+        assert one(f"see {before}{layer} here") == [layer]
+    text = "many words stand in front of it, " * 5 + "token=abcdef123456 and after"
+    long = base64.b64encode(text.encode()).decode()
+    wrapped = "\n".join(long[i : i + 60] for i in range(0, len(long), 60))
+    (got,) = one(f"body:\n{wrapped}\nend")
+    assert base64.b64decode(got.replace("\n", "")) == b"token=abcdef123456"[: len(got.replace("\n", "")) * 3 // 4] and len(got) < 30
+
+
+def test_secrets_end_on_cycles_and_long_runs():
+    deep = "token=abcdef123456"
+    for _ in range(30):
+        deep = deep.replace("%", "%25").replace("=", "%3D")
+    assert ("assign", 0, len(deep)) in secrets.secrets(deep)[1]
+    chain = "%" + "25" * 100_000 + "74oken=abcdef123456"
+    assert ("assign", 0, len(chain)) in secrets.secrets(chain)[1]
+    assert secrets.secrets("%" + "%41" * 200_000)[1] == [] and secrets.secrets("%5cu0025" * 20_000)[1] == []
+    blob = base64.b64encode(np.random.default_rng(1).bytes(750_000)).decode()
+    assert ("assign", len(blob) + 4, len(blob) + 24) in secrets.secrets("%" + blob + "   token%3Dabcdef123456")[1]
 
 
 def test_jaccard(spark, docs, empty, plain):
