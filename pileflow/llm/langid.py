@@ -14,25 +14,38 @@ from pileflow.llm.common import Batches, crc_mod, mixed
 #: Bits of a hashed n-gram's slot, orders of n-grams, and the bound on training rows of each language.
 BITS, ORDERS, ROWS = 12, (1, 2, 3), 500
 SLOTS = 1 << BITS
+#: N-grams of a long text that are hashed at once.
+STEP = 1 << 18
 #: Below this distance between the shares of the two nearest codewords a text is called ambiguous.
 AMBIGUOUS = 0.2
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
-def grams(text: str) -> np.ndarray:
-    """Slots of the n-grams of letters; runs of anything else count as one space."""
+def letters(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters; runs of anything else count as one space, and one stands at either end."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _LETTER[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
     c = np.where(letter, c, 32)
-    c = np.concatenate([[32], c[letter | np.concatenate([[True], letter[:-1]])], [32]]).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        h = np.full(max(0, len(c) - n + 1), n, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x100000001B3) + c[i : i + len(h)]
-        out.append((mixed(h) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(out)
+    return np.concatenate([[32], c[letter | np.concatenate([[True], letter[:-1]])], [32]])
+
+
+def slots(c: np.ndarray, order: int) -> np.ndarray:
+    """Slots of the n-grams of one order over code points."""
+    c = c.astype(np.uint64)
+    h = np.full(max(0, len(c) - order + 1), order, np.uint64)
+    for i in range(order):
+        h = h * np.uint64(0x100000001B3) + c[i : i + len(h)]
+    return (mixed(h) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def profile(text: str, step: int = STEP) -> np.ndarray:
+    """How often each slot occurs. Long texts go in steps that overlap by what an n-gram needs, so that each is counted once."""
+    c, out = letters(text), np.zeros(SLOTS, np.int64)
+    for order in ORDERS:
+        for a in range(0, max(1, len(c) - order + 1), step):
+            out += np.bincount(slots(c[a : a + step + order - 1], order), minlength=SLOTS)
+    return out
 
 
 def codewords(classes: int) -> np.ndarray:
@@ -71,7 +84,9 @@ def identify(spark: SparkSession, docs: DataFrame, mod: int = 4, held: int = 2,
 
     Learns from rows with text, letters and a language whose crc32(doc_id) mod ``mod`` isn't ``held``: per language the ``rows``
     first by a hash, which bounds what the driver gets. A text gets the nearest codeword by loss-weighted decoding; its
-    score is that codeword's share among all. ``und`` with score 0: null text, no letters, or no language to learn from.
+    score is that codeword's share among all; of codewords at one distance the first language by name wins. ``und`` with score 0: null or empty
+    text, no letters, or no language to learn from. Repeated rows and rows with null ids are predicted each, an empty table gives no rows,
+    and texts of any length are counted whole.
     """
     is_held = F.expr(f"{crc_mod('doc_id', mod)} = {held}")
     labelled = docs.where("text is not null and lang is not null").where(~is_held).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(5)).alias("_h"))
@@ -89,7 +104,7 @@ def identify(spark: SparkSession, docs: DataFrame, mod: int = 4, held: int = 2,
             for lang, text in zip(b.column(0), b.column(1), strict=True):
                 text = text.as_py()
                 if any(map(str.isalpha, text)):
-                    n = np.bincount(grams(text), minlength=SLOTS).astype(np.float32)
+                    n = profile(text).astype(np.float32)
                     langs.append(lang.as_py())
                     data.append((n / n.sum()).astype(np.float32).tobytes())
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["lang", "x"])
@@ -101,7 +116,6 @@ def identify(spark: SparkSession, docs: DataFrame, mod: int = 4, held: int = 2,
     if len(names) > 1:
         x = np.frombuffer(b"".join(r.x for r in sample), np.float32).reshape(len(sample), SLOTS)
         weights, bias, trust = fit(x, np.array([names.index(r.lang) for r in sample]), code)
-    weights = weights.astype(np.float32)
     del sample
 
     def predict(batches: Batches) -> Batches:
@@ -114,12 +128,9 @@ def identify(spark: SparkSession, docs: DataFrame, mod: int = 4, held: int = 2,
                 elif len(names) == 1:
                     best, share, second = names[0], 1.0, 0.0
                 else:
-                    total, n = np.zeros(len(bias)), 0
-                    for a in range(0, len(text), 1 << 18):  # a long text in steps; n-grams across a step's end are few
-                        slots = grams(text[a : a + (1 << 18)])
-                        total += weights[slots].sum(0, dtype=np.float64)
-                        n += len(slots)
-                    loss = np.logaddexp(0, -code * (total / n + bias)) @ trust
+                    n = profile(text)
+                    hit = np.flatnonzero(n)
+                    loss = np.logaddexp(0, -code * (n[hit] @ weights[hit] / n.sum() + bias)) @ trust
                     p = np.exp(loss.min() - loss)
                     p /= p.sum()
                     order = np.argsort(-p, kind="stable")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from pileflow.llm.common import Batches, Workspace
 from pileflow.llm.tokens import ByteBpe
 
-#: Sub-ranks of one length, so that a length that most pieces have is ranked by many tasks.
-RANK_BUCKETS = 128
+#: Pieces of one length that are ranked together; up to FEW parts a length, LITTLE pieces are enough for one.
+RANKED, FEW, LITTLE = 1 << 20, 128, 1 << 12
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -103,36 +104,45 @@ def pieces(docs: DataFrame, capacity: int, end_id: int = 2, library: str | None
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = 1024, end_id: int = 2, buckets: int = RANK_BUCKETS) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranked: int = RANKED) -> DataFrame:
     """Every piece with its place: sequence_id and offset, gapless from 0, no sequence above the capacity.
 
     Null texts count as empty and are one piece of the end id; repeated rows, and rows with equal or null ids, are packed each
-    on its own. An empty table gives no rows. The driver sees one row per length that occurs (``capacity`` at most); pieces
-    meet the plan by their rank among those of their length, counted in two levels so that no task has all of one length.
+    on its own. An empty table gives no rows; a text of any length is encoded whole and cut. The driver sees one row per length
+    that occurs (``capacity`` at most) and one for each ``ranked`` pieces of a length; pieces meet the plan by their rank among
+    those of their length, counted in two levels so that no task has all of one length.
     """
     space = Workspace(spark, "packing")
-    made = space.write(pieces(docs, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    groups = made.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    # lengths x buckets rows at most, whatever the input
-    counts = groups.collect()
-    histogram, base = defaultdict(int), {}
-    for r in sorted(counts, key=lambda r: (r.length, r.bucket)):
-        base[r.length, r.bucket] = histogram[r.length]
-        histogram[r.length] += r.n
+    made = space.write(pieces(docs, capacity, end_id), "pieces")
+    histogram = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = {x: max(min(FEW, ceil(n / LITTLE)), ceil(n / ranked)) for x, n in histogram.items()}
+    table = F.broadcast(spark.createDataFrame(list(parts.items()), "length long, parts int"))
+    made = made.join(table, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts").cast("int")).drop("parts")
+    # where the ranks of each part of a length begin
+    first, size = {}, 0
+    for x in parts:
+        first[x] = size
+        size += parts[x]
+    bases, at = np.zeros(size, np.int64), np.zeros(capacity + 1, np.int64)
+    for r in made.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect():
+        bases[first[r.length] + r.bucket] = r.n
+    for x, a in first.items():
+        part = bases[a : a + parts[x]]
+        part[:] = np.cumsum(part) - part
+        at[x] = a
     rows = plan(histogram, capacity)
     keys = rows[:, 0] << 48 | rows[:, 1]
-    bases = np.zeros((capacity + 1, buckets), np.int64)
-    for (length, bucket), n in base.items():
-        bases[length, bucket] = n
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranked = made.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
 
     def place(batches: Batches) -> Batches:
         for b in batches:
-            length, bucket, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "bucket", "rank"))
-            rank = rank + bases[length, bucket]
-            at = np.searchsorted(keys, length << 48 | rank, side="right") - 1
-            sequence = rows[at, 3] + rank - rows[at, 1]
-            yield pa.record_batch([*[b.column(b.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(rows[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            length, bucket, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6))
+            rank = rank + bases[at[length] + bucket]
+            row = np.searchsorted(keys, length << 48 | rank, side="right") - 1
+            sequence = rows[row, 3] + rank - rows[row, 1]
+            yield pa.record_batch([*b.columns[:5], pa.array(sequence), pa.array(rows[row, 4])], [*names, "sequence_id", "offset"])
+
+    turned = made.select(*names, "bucket", (F.row_number().over(order).cast("long") - 1).alias("rank"))
+    return turned.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

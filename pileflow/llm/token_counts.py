@@ -13,7 +13,8 @@ from pileflow.llm.tokens import PieceCount
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each row.
 
-    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows stay; other columns are left out, so their names can't clash.
+    Null texts count as empty: 0 bytes, 0 tokens; texts of any length are counted whole. Repeated rows stay, rows with null ids too, and an empty
+    table gives no rows; other columns are left out, so their names can't clash.
     ``limit``: over_limit is n_tokens > limit. A scan with one narrow output: no shuffle, nothing grows with the input.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))

@@ -13,7 +13,6 @@ def packing_faults(docs, rows, capacity=1024):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = []
     for r in docs:
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")

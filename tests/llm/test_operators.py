@@ -157,6 +157,50 @@ def test_mixing(spark, docs, empty, plain):
     assert made.columns == docs.columns and sum(len(r.text.encode().split()) for r in made.collect()) == sum(taken.values())
 
 
+def test_mixing_by_counting_words(spark):
+    """Blocks, draws and permutations against a plain count of where each word of each source goes."""
+    rng = np.random.default_rng(12)
+    sizes = {"small": [10], "two": [60, 40], "none": [0, 0], "big": rng.integers(1, 400, 300).tolist(), "more": rng.integers(1, 90, 200).tolist(), None: [700]}
+    table = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    # null and repeated ids and rows are documents of their own
+    table += [(None, "one two three", "big"), (None, "one two four", "big"), (0, "w w", "big"), (0, "w w", "big"), (5000, None, "small")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(spark, docs, block=64)[0].collect()
+    words_of = Counter()
+    for _, t, s in table:
+        words_of[s] += len((t or "").split())
+    order = sorted(words_of, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(order, mixing.targets([words_of[s] for s in order], [1.0 + i % 3 for i in range(len(order))]), strict=True))
+    assert sorted((r.size, r.source_size, r.target) for r in got) == sorted((len((t or "").split()), words_of[s], goal[s]) for _, t, s in table)
+    taken = Counter()
+    for r in got:
+        assert r.taken <= 3 * r.size
+        taken[r.target, r.source_size] += r.taken
+    for s in order:
+        # half a block for the rounding, and one for the last block that is shorter
+        assert abs(taken[goal[s], words_of[s]] - goal[s]) <= 96, s
+    assert taken[goal["small"], 10] == goal["small"] == 30
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(spark, docs.repartition(7), block=64)[0].collect()))
+
+
+def test_draws_keep_totals_and_vary():
+    totals = np.array([3, 0, 5000, 41_000])
+    d = mixing.Draws(totals, 100, 7)
+    counts = np.array([d.shard(k)[0] for k in range(d.shards)])
+    before = np.array([d.shard(k)[1] for k in range(d.shards)])
+    assert (counts.sum(0) == totals).all() and (counts.sum(1)[:-1] == 100).all()
+    assert (before == np.cumsum(counts, 0) - counts).all()
+    # the spread of a multinomial, and the same numbers whichever shard is asked for first
+    p = totals[2] / totals.sum()
+    assert 0.8 < counts[:-1, 2].std() / math.sqrt(100 * p * (1 - p)) < 1.2
+    other = mixing.Draws(totals, 100, 7)
+    assert all((other.shard(k)[0] == counts[k]).all() for k in rng_order(d.shards))
+
+
+def rng_order(n):
+    return np.random.default_rng(1).permutation(n).tolist()
+
+
 def test_targets_and_permutation():
     assert mixing.targets([10, 10, 1000], [1, 2, 3]) == [30.0, 30.0, 960.0]
     i = np.arange(1000)
