@@ -162,7 +162,8 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, slots: int = S
     split = known.withColumn("block", F.explode_outer(numbers))
     first = F.greatest(F.lit(0), F.col("block") * block - F.col("begin"))
     split = split.withColumns({"first": first, "words": F.least(F.col("size"), (F.col("block") + 1) * block - F.col("begin")) - first})
-    used = split.join(uses, ["sid", "block"], "left")
+    # both sides grow with the rows, though a planner that sees a range of shards thinks one of them small
+    used = split.join(uses.hint("merge"), ["sid", "block"], "left")
     used = space.write(used.select("doc_id", "source", "sid", "part", "place", "mark", "size", "source_size", "target", "first", "words", F.coalesce("uses", F.lit(0)).alias("uses")), "parts")
     taken = F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken")
     result = used.groupBy("sid", "part", "place", "doc_id", "size", "source_size", "target").agg(taken).drop("sid", "part", "place")
