@@ -16,7 +16,7 @@ from pileflow.llm.common import Batches, Workspace
 from pileflow.llm.tokens import ByteBpe
 
 #: Pieces of one length that are ranked together; up to FEW parts a length, LITTLE pieces are enough for one.
-RANKED, FEW, LITTLE = 1 << 20, 128, 1 << 12
+RANKED, FEW, LITTLE = 1 << 20, 128, 1 << 8
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
