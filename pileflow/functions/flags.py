@@ -30,9 +30,14 @@ def read_class() -> Column:
 
 def placed() -> Column:
     """Has a reference and isn't a passing unmapped read; QC failures stay in."""
-    return (F.col("rname") != "*") & (read_class() != -3)
+    return (F.col("rname") != "*") & (F.col("flag").bitwiseAND(F.lit(QCFAIL | UNMAPPED)) != UNMAPPED)
+
+
+def not_duplicate() -> Column:
+    """Any class but that of mapped duplicates; one look at the flag, which may be a costly expression."""
+    return F.col("flag").bitwiseAND(F.lit(QCFAIL | UNMAPPED | DUPLICATE)) != DUPLICATE
 
 
 def is_clean(mapq: int) -> Column:
     """Counts towards de-duplicated depth."""
-    return (read_class() != 2) & (F.col("mapq") >= mapq)
+    return not_duplicate() & (F.col("mapq") >= mapq)

@@ -21,17 +21,20 @@ def usable(reads: DataFrame) -> DataFrame:
 
 def read_blocks(reads: DataFrame, mapq: int = 20, refskip: str = "stay") -> DataFrame:
     """(chrom, s, e, raw, rmdup, cover): what each aligned or deleted block adds to the three depths."""
+    rows = usable(reads).select(F.col("rname").alias("chrom"), "pos", "cigar", is_clean(mapq).cast("int").alias("clean"))
     aligned = (F.col("op") != "D").cast("int")
-    cut = blocks(usable(reads).select(F.col("rname").alias("chrom"), "rname", "pos", "cigar", "flag", "mapq"), refskip)
-    return cut.select("chrom", "s", "e", aligned.alias("raw"), (aligned * is_clean(mapq).cast("int")).alias("rmdup"), F.lit(1).alias("cover"))
+    return blocks(rows, refskip, ["chrom", "clean"]).select("chrom", "s", "e", aligned.alias("raw"), (aligned * F.col("clean")).alias("rmdup"), F.lit(1).alias("cover"))
 
 
-def segments(reads: DataFrame, regions: DataFrame, mapq: int = 20, refskip: str = "stay", bins: int = BIN) -> DataFrame:
-    """Runs of equal depth inside merged regions: (chrom, start, stop, s, e, raw, rmdup, cover); s, e 1-based inclusive.
+def sweep(reads: DataFrame, regions: DataFrame, flank: DataFrame | None = None, mapq: int = 20, refskip: str = "stay", bins: int = BIN) -> DataFrame:
+    """Runs of equal depth inside merged regions or a second merged set: (chrom, start, stop, s, e, inside, beside, raw, rmdup, cover).
 
-    Covers every target position once, with zeros where no read lies. Runs end at bin borders.
+    s, e are 1-based inclusive; ``inside`` and ``beside`` tell whether the run lies in the regions and in ``flank``; start, stop are
+    of the region. Covers every position of either set once, with zeros where no read lies. Runs end at bin borders.
     """
-    parts = binned(regions, bins)
+    parts = binned(regions, bins).withColumns({"inside": F.lit(1), "beside": F.lit(0), "r": F.struct("start", "stop")})
+    if flank is not None:
+        parts = parts.unionByName(binned(flank, bins).withColumns({"inside": F.lit(0), "beside": F.lit(1), "r": F.lit(None).cast("struct<start:int,stop:int>")}))
     touched = parts.select("chrom", "bin").distinct()
     cut = (
         read_blocks(reads, mapq, refskip)
@@ -42,21 +45,26 @@ def segments(reads: DataFrame, regions: DataFrame, mapq: int = 20, refskip: str
     deltas = cut.selectExpr("chrom", "bin", "inline(array(struct(s as p, raw as d_raw, rmdup as d_rmdup, cover as d_cover), struct(e + 1 as p, -raw as d_raw, -rmdup as d_rmdup, -cover as d_cover)))")
     deltas = deltas.groupBy("chrom", "bin", "p").agg(*[F.sum(c).alias(c) for c in ("d_raw", "d_rmdup", "d_cover")])
     none = "0L as d_raw, 0L as d_rmdup, 0L as d_cover"
-    edges = parts.selectExpr("chrom", "bin", f"inline(array(struct(s as p, {none}, 1 as inside, struct(start, stop) as r), struct(e + 1 as p, {none}, -1 as inside, cast(null as struct<start:int, stop:int>) as r)))")
-    events = deltas.selectExpr("chrom", "bin", "p", "d_raw", "d_rmdup", "d_cover", "0 as inside", "cast(null as struct<start:int, stop:int>) as r").unionByName(edges)
-    events = events.groupBy("chrom", "bin", "p").agg(*[F.sum(c).alias(c) for c in ("d_raw", "d_rmdup", "d_cover", "inside")], F.max("r").alias("r"))
+    edges = parts.selectExpr("chrom", "bin", f"inline(array(struct(s as p, {none}, inside, beside, r), struct(e + 1 as p, {none}, -inside as inside, -beside as beside, cast(null as struct<start:int, stop:int>) as r)))")
+    events = deltas.selectExpr("chrom", "bin", "p", "d_raw", "d_rmdup", "d_cover", "0 as inside", "0 as beside", "cast(null as struct<start:int, stop:int>) as r").unionByName(edges)
+    events = events.groupBy("chrom", "bin", "p").agg(*[F.sum(c).alias(c) for c in ("d_raw", "d_rmdup", "d_cover", "inside", "beside")], F.max("r").alias("r"))
     w = Window.partitionBy("chrom", "bin").orderBy("p")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return (
         events.select(
-            "chrom", F.col("p").alias("s"), (F.lead("p").over(w) - 1).alias("e"), F.sum("inside").over(run).alias("inside"), F.last("r", True).over(run).alias("r"),
-            *[F.sum(f"d_{c}").over(run).alias(c) for c in ("raw", "rmdup", "cover")],
+            "chrom", F.col("p").alias("s"), (F.lead("p").over(w) - 1).alias("e"), (F.sum("inside").over(run) > 0).alias("inside"), (F.sum("beside").over(run) > 0).alias("beside"),
+            F.last("r", True).over(run).alias("r"), *[F.sum(f"d_{c}").over(run).alias(c) for c in ("raw", "rmdup", "cover")],
         )
-        .where("inside > 0 and e >= s")
-        .select("chrom", "r.start", "r.stop", "s", "e", "raw", "rmdup", "cover")
+        .where("(inside or beside) and e >= s")
+        .select("chrom", "r.start", "r.stop", "s", "e", "inside", "beside", "raw", "rmdup", "cover")
     )
 
 
+def segments(reads: DataFrame, regions: DataFrame, mapq: int = 20, refskip: str = "stay", bins: int = BIN) -> DataFrame:
+    """Runs of equal depth inside merged regions: (chrom, start, stop, s, e, raw, rmdup, cover)."""
+    return sweep(reads, regions, None, mapq, refskip, bins).drop("inside", "beside")
+
+
 def positions(segs: DataFrame) -> DataFrame:
     """One row per target position: (chrom, pos, raw, rmdup, cover), pos 1-based."""
     return segs.select("chrom", F.explode(F.sequence("s", "e")).alias("pos"), "raw", "rmdup", "cover")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pileflow.functions.flags import DUPLICATE, MATE_UNMAPPED, PAIRED, PROPER, QCFAIL, READ1, READ2, REVERSE, UNMAPPED, has, is_primary, lacks, placed, read_class
+from pileflow.functions.flags import DUPLICATE, MATE_UNMAPPED, PAIRED, PROPER, QCFAIL, READ1, READ2, REVERSE, UNMAPPED, has, is_primary, lacks, not_duplicate, placed, read_class
 
 
 def classes(reads: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def flagstat(reads: DataFrame, mapq: int = 20) -> DataFrame:
     """The counters over primary reads, as one row."""
     ok, mapped = lacks(QCFAIL), lacks(QCFAIL | UNMAPPED)
     pair_map = mapped & has(PAIRED) & lacks(MATE_UNMAPPED)
-    kept = placed() & (read_class() != 2)
+    kept = placed() & not_duplicate()
 
     def n(cond: Column, name: str) -> Column:
         return F.count_if(cond).alias(name)

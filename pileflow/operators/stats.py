@@ -88,13 +88,19 @@ def coverage_at(hist: DataFrame, thresholds: Sequence[int] = (1, 4, 10, 30, 100)
     return wide.select(*by, F.inline(pairs))
 
 
-def coverage_ratio(hist: DataFrame, length: Column, ratios: Sequence[float] = (0.2, 0.5), strict: bool = True) -> DataFrame:
+def hist_center(hist: DataFrame) -> DataFrame:
+    """Mean and median of a histogram, in one row."""
+    return hist.agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"), F.expr("percentile(value, 0.5D, cnt)").alias("median"))
+
+
+def coverage_ratio(hist: DataFrame, ratios: Sequence[float] = (0.2, 0.5), strict: bool = True) -> DataFrame:
     """(ratio, threshold, percent). strict: depth above trunc(ratio * mean); else at least trunc(ratio * whole mean).
 
-    ``length``: target bases, from which the mean is taken.
+    The histogram counts every target base, so the mean is its own.
     """
-    data = hist.withColumn("_data", F.sum(F.col("value") * F.col("cnt")).over(Window.partitionBy()))
-    mean = F.col("_data") / length if strict else F.floor(F.col("_data") / length)
+    every = Window.partitionBy()
+    data = hist.withColumn("_mean", F.sum(F.col("value") * F.col("cnt")).over(every) / F.sum("cnt").over(every))
+    mean = F.col("_mean") if strict else F.floor("_mean")
     each = data.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios]))).withColumn("threshold", F.floor(F.col("ratio") * mean))
     hit = F.col("value") > F.col("threshold") if strict else F.col("value") >= F.col("threshold")
     return each.groupBy("ratio", "threshold").agg((100.0 * F.sum(F.when(hit, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("percent"))

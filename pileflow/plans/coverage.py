@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pileflow.operators import depth, intervals, reads, stats
@@ -30,17 +31,26 @@ class Coverage:
         self.flank_set = intervals.merge(intervals.extend(self.target, o.flank, o.flank, self.chroms, o.compat))
         if o.flank_exclude_target:
             self.flank_set = intervals.subtract(self.flank_set, self.target)
-        self.segments = depth.segments(self.alignments, self.target, o.mapq, o.refskip)
-        self.flank_segments = depth.segments(self.alignments, self.flank_set, o.mapq, o.refskip)
+        self.runs = depth.sweep(self.alignments, self.target, self.flank_set, o.mapq, o.refskip)
+
+    @property
+    def segments(self) -> DataFrame:
+        """Runs inside the target."""
+        return self.runs.where("inside").drop("inside", "beside")
 
     def persist(self) -> Coverage:
-        self.segments.persist()
-        self.flank_segments.persist()
+        self.runs.persist()
         return self
 
     def close(self) -> None:
-        self.segments.unpersist()
-        self.flank_segments.unpersist()
+        self.runs.unpersist()
+
+    def in_order(self, rows: DataFrame, *by: str) -> DataFrame:
+        """Rows with ``chrom`` in the order of the header, then by columns; chromosomes that it doesn't name come last, by name."""
+        if self.chroms is None:
+            return rows.orderBy("chrom", *by)
+        order = self.chroms.select(F.col("name").alias("chrom"), F.col("tid").alias("_tid"))
+        return rows.join(order, "chrom", "left").orderBy(F.col("_tid").asc_nulls_last(), "chrom", *by).drop("_tid")
 
     def region_stats(self) -> DataFrame:
         return stats.region_stats(self.segments, self.options.compat)
@@ -52,39 +62,51 @@ class Coverage:
         return depth.overlapping(self.alignments, self.target)
 
     def metrics(self) -> DataFrame:
-        """One row with every figure of the report; each part is a one-row aggregate of a small histogram or of one scan."""
+        """One row with every figure of the report.
+
+        One sweep gives all depths: its runs are counted by kind and value once, and all shares, means and lengths come from those few rows.
+        """
         o = self.options
         median = "cast(percentile(value, 0.5D, cnt) as bigint)"
+        kinds = "inline(array(struct('tgt' as kind, if(inside, cover, null) as value), struct('rmdup' as kind, if(inside, rmdup, null) as value), struct('flk' as kind, if(beside, raw, null) as value)))"
+        hist = self.runs.selectExpr(kinds, "cast(e - s + 1 as bigint) as n").where("value is not null").groupBy("kind", "value").agg(F.sum("n").alias("cnt"))
+        regional = stats.region_hist(self.region_stats()).select(F.lit("reg").alias("kind"), "value", "cnt")
+        depths = hist.unionByName(regional).agg(
+            *[c for name in ("tgt", "rmdup", "flk", "reg") for c in self._covered(name)], *[_sum("cnt", name).alias(f"{name}_len") for name in ("tgt", "flk")],
+            F.collect_list(F.when(F.col("kind") == "tgt", F.struct("value", "cnt"))).alias("_h"),
+        )
         parts = [
             reads.flagstat(self.alignments, o.mapq),
             reads.insert_hist(self.alignments, o.isize_limit).agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("isize_avg"), F.expr(median).alias("isize_median")),
             self.target_reads().agg(F.count("*").alias("n_tgt")),
             depth.overlapping(self.alignments, self.flank_set).agg(F.count("*").alias("n_flk")),
-            intervals.summary(self.target).select(F.col("regions").alias("n_regions"), F.col("bases").alias("tgt_len")),
-            intervals.summary(self.flank_set).select(F.col("bases").alias("flk_len")),
-            self._covered(stats.depth_hist(self.segments), "tgt"),
-            self._covered(stats.depth_hist(self.segments, "rmdup"), "rmdup"),
-            self._covered(stats.depth_hist(self.flank_segments, "raw"), "flk"),
-            self._covered(stats.region_hist(self.region_stats()), "reg").withColumnRenamed("reg_data", "reg_depth_sum"),
+            self.target.agg(F.count("*").alias("n_regions")),
+            depths.withColumns(dict(self._ratios())).withColumnRenamed("reg_data", "reg_depth_sum").drop("_h"),
         ]
-        out = parts[0]
-        for p in parts[1:]:  # one row each
-            out = out.crossJoin(p)
-        hist = stats.depth_hist(self.segments)
-        for r in (0.2, 0.5):
-            inclusive = hist.crossJoin(intervals.summary(self.target).select(F.col("bases").alias("_len")))
-            inclusive = stats.coverage_ratio(inclusive, F.col("_len"), [r], strict=False).select(F.col("percent").alias(f"tgt_ge_{r:g}_avg"))
-            out = out.join(inclusive, F.lit(True), "left")
-        for r in o.ratios:
-            strict = hist.crossJoin(intervals.summary(self.target).select(F.col("bases").alias("_len")))
-            strict = stats.coverage_ratio(strict, F.col("_len"), [r]).select(F.col("percent").alias(f"tgt_gt_{r:g}_ratio"))
-            out = out.join(strict, F.lit(True), "left")
-        return out
-
-    def _covered(self, hist: DataFrame, name: str) -> DataFrame:
+        rows = parts[0]
+        for p in parts[1:]:  # one row each, side by side
+            rows = rows.unionByName(p, allowMissingColumns=True)
+        return rows.agg(*[F.max(f"`{c}`").alias(c) for c in rows.columns])
+
+    def _covered(self, name: str) -> list[Column]:
         t = dict.fromkeys([1, *self.options.thresholds, *self.options.cutoffs])
-        return hist.agg(
-            F.coalesce(F.sum(F.col("value") * F.col("cnt")), F.lit(0)).cast("bigint").alias(f"{name}_data"),
-            *[stats.share_at(x).alias(f"{name}_{x}x") for x in t],
-            F.coalesce(F.sum(F.when(F.col("value") >= 1, F.col("cnt"))), F.lit(0)).alias(f"{name}_covered"),
-        )
+        deep = lambda x: F.coalesce(_sum("cnt", name, F.col("value") >= x), F.lit(0))
+        data = F.sum(F.when(F.col("kind") == name, F.col("value") * F.col("cnt")))
+        return [
+            F.coalesce(data, F.lit(0)).cast("bigint").alias(f"{name}_data"), deep(1).alias(f"{name}_covered"),
+            *[F.try_divide(100.0 * deep(x), _sum("cnt", name)).alias(f"{name}_{x}x") for x in t],
+        ]
+
+    def _ratios(self) -> Iterator[tuple[str, Column]]:
+        """Shares of the target above parts of its mean depth, from the few rows of its histogram."""
+        at = lambda cond: F.expr(f"try_divide(100.0D * aggregate(filter(_h, x -> {cond}), 0L, (a, x) -> a + x.cnt), tgt_len)")
+        mean = "try_divide(tgt_data, tgt_len)"
+        for r in (0.2, 0.5):
+            yield f"tgt_ge_{r:g}_avg", at(f"x.value >= floor({r}D * floor({mean}))")
+        for r in self.options.ratios:
+            yield f"tgt_gt_{r:g}_ratio", at(f"x.value > floor({r}D * {mean})")
+
+
+def _sum(what: str, kind: str, cond: Column | None = None) -> Column:
+    hit = F.col("kind") == kind
+    return F.sum(F.when(hit if cond is None else hit & cond, F.col(what)))

@@ -25,7 +25,7 @@ def _half(spark: SparkSession, d: str, odd: int) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str) -> Coverage:
-    return Coverage(T.reads(spark, d), T.regions(spark, d), T.chroms(spark), OPTIONS)
+    return Coverage(T.reads(spark, d), T.regions(spark, d), T.chroms(spark, d), OPTIONS)
 
 
 def _segs(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _segs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flank_set(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.merge(intervals.extend(T.regions(spark, d), FLANK, FLANK, T.chroms(spark)))
+    return intervals.merge(intervals.extend(T.regions(spark, d), FLANK, FLANK, T.chroms(spark, d)))
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +46,7 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ratio(spark: SparkSession, d: str, strict: bool) -> DataFrame:
-    size = intervals.summary(T.regions(spark, d)).select(F.col("bases").alias("_len"))
-    return stats.coverage_ratio(stats.depth_hist(_segs(spark, d)).crossJoin(size), F.col("_len"), strict=strict)
+    return stats.coverage_ratio(stats.depth_hist(_segs(spark, d)), strict=strict)
 
 
 READ = ["rid", "rno", "rname", "pos", "flag", "mapq", "l_qseq", "cigar"]
@@ -65,13 +64,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bed_1to0": lambda s, d: intervals.to_zero_based(T.regions(s, d)),
         "bed_stat": lambda s, d: intervals.summary(T.regions(s, d)),
         "bed_chroms": lambda s, d: intervals.chromosomes(T.regions(s, d)),
-        "bed_bounds_check": lambda s, d: intervals.bounds(T.regions(s, d), T.chroms(s).where("name != 'chr5'").withColumn("length", F.lit(40_000).cast("long"))),
+        "bed_bounds_check": lambda s, d: intervals.bounds(T.regions(s, d), T.chroms(s, d).where("name != 'chr5'").withColumn("length", F.col("length") - 20_000)),
         "read_classes": _classes,
         "flagstat": lambda s, d: reads.flagstat(T.reads(s, d)),
         "mapq_stat": lambda s, d: reads.mapq_counts(T.reads(s, d)),
         "insert_hist": lambda s, d: reads.insert_hist(T.reads(s, d)),
         "insert_cumu": lambda s, d: stats.cumulative(reads.insert_hist(T.reads(s, d))),
-        "insert_stats": lambda s, d: stats.hist_mean(h := reads.insert_hist(T.reads(s, d))).crossJoin(stats.hist_median(h)),
+        "insert_stats": lambda s, d: stats.hist_center(reads.insert_hist(T.reads(s, d))),
         "insert_median_compat": lambda s, d: stats.hist_median(reads.insert_hist(T.reads(s, d)), compat=True),
         "cigar_blocks": lambda s, d: blocks(T.reads(s, d)).select("rname", "flag", "mapq", "op", "s", "e"),
         "read_ends": lambda s, d: T.reads(s, d).select("rid", "rno", "rname", "pos", "cigar", (F.col("pos") + span()).alias("end_pos")),
@@ -85,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rmdup_hist": lambda s, d: stats.depth_hist(_segs(s, d), "rmdup"),
         "chrom_hist": lambda s, d: stats.chrom_hist(_segs(s, d)),
         "depth_cumu": lambda s, d: stats.cumulative(stats.depth_hist(_segs(s, d))),
-        "depth_stats": lambda s, d: stats.hist_mean(h := stats.depth_hist(_segs(s, d))).crossJoin(stats.hist_median(h)),
+        "depth_stats": lambda s, d: stats.hist_center(stats.depth_hist(_segs(s, d))),
         "region_stats": lambda s, d: stats.region_stats(_segs(s, d)),
         "region_stats_compat": lambda s, d: stats.region_stats(_segs(s, d), compat=True),
         "region_hist": lambda s, d: stats.region_hist(stats.region_stats(_segs(s, d))),
@@ -111,9 +110,9 @@ MERGED = """select chrom, min(start) as start, max(stop) as stop from (
 group by chrom, isl"""
 PLACED = "flag & 2304 = 0 and rname <> '*' and (flag & 512 <> 0 or flag & 4 = 0)"
 DUP = "flag & 512 = 0 and flag & 4 = 0 and flag & 1024 <> 0"
-BASE = f"""reads as ({T.READS}), raw_regions as (select chrom, greatest(start, 1) as start, stop from ({T.RAW_REGIONS}) q),
+BASE = f"""lens as ({T.LENGTH}), reads as ({T.READS}), raw_regions as (select chrom, greatest(start, 1) as start, stop from ({T.RAW_REGIONS}) q),
 regions as ({MERGED.format("raw_regions")}),
-ext as (select chrom, greatest(start - {FLANK}, 0) as start, least(stop + {FLANK}, 60000) as stop from regions),
+ext as (select chrom, greatest(start - {FLANK}, 0) as start, cast(least(stop + {FLANK}, (select length from lens)) as int) as stop from regions),
 flank as ({MERGED.format("ext")}),
 ops as (select *, regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2) as o, list_transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), lambda x: cast(x as int)) as n from reads),
 hulls as (select *, pos + greatest(1, cast(list_sum(list_transform(generate_series(1, len(o)), lambda i: case when o[i] in ('M', 'D', 'N', '=', 'X') then n[i] else 0 end)) as int)) as end_pos from ops),
@@ -215,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "bed_1to0": _with("select chrom, start - 1 as start, stop from regions"),
         "bed_stat": _with("select count(*) as regions, cast(sum(stop - start) as bigint) as bases, count(*) filter (start = stop) as empty from regions"),
         "bed_chroms": _with("select distinct chrom from regions"),
-        "bed_bounds_check": _with("select chrom, start, stop, case when chrom = 'chr5' then 'unknown' else 'past_end' end as reason from regions where chrom = 'chr5' or start >= 40000 or stop > 40000"),
+        "bed_bounds_check": _with("select chrom, start, stop, case when chrom = 'chr5' then 'unknown' else 'past_end' end as reason from regions where chrom = 'chr5' or stop > (select length from lens) - 20000"),
         "read_classes": _with("select cast(case when flag & 512 <> 0 then 0 when flag & 4 <> 0 then -3 when flag & 1024 <> 0 then 2 else 1 end as int) as class, count(*) as n, cast(sum(l_qseq) as bigint) as bases from primaries group by 1"),
         "flagstat": _with(FLAGSTAT),
         "mapq_stat": _with("select mapq, count(*) as n from primaries group by 1"),

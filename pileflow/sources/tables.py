@@ -1,4 +1,7 @@
-"""Reads, regions and chromosomes derived from the test tables."""
+"""Reads, regions and chromosomes derived from the whole test tables.
+
+Every 600 parts open a new stretch of 50,000 bases on each chromosome, so regions and reads grow with the tables at one density.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,10 @@ from pyspark.sql import functions as F
 from pileflow.operators.intervals import merge
 
 #: SQL that Spark and DuckDB both take, over the tables lineitem and part.
-READS = """select l_orderkey as rid, l_linenumber as rno,
+STRETCH = "50000 * cast(floor({0} / 600.0) as int)"
+READS = f"""select l_orderkey as rid, l_linenumber as rno,
  concat('chr', cast(l_suppkey % 5 as int)) as rname,
- cast((l_partkey*7919 + l_orderkey*104729 + l_linenumber*31) % 50000 as int) as pos,
+ cast((l_partkey*7919 + l_orderkey*104729 + l_linenumber*31) % 50000 + {STRETCH.format('l_partkey')} as int) as pos,
  cast((l_orderkey*7 + l_linenumber*11 + l_partkey) % 61 as int) as mapq,
  cast(l_quantity as int) + 30 as l_qseq,
  cast(1 + case when l_linenumber % 2 = 1 then 64 else 128 end
@@ -29,11 +33,12 @@ READS = """select l_orderkey as rid, l_linenumber as rno,
    when 2 then concat('5S15M3I', cast(cast(l_quantity as int) + 7 as string), 'M')
    else concat('12=40N', cast(cast(l_quantity as int) + 18 as string), 'X') end as cigar
 from lineitem"""
-RAW_REGIONS = """select concat('chr', cast(p_partkey % 6 as int)) as chrom,
- cast((p_partkey*5003) % 48000 as int) as start,
- cast((p_partkey*5003) % 48000 + 20 + p_size as int) as stop
-from part where p_partkey < 600"""
-CHROMS = [(i, f"chr{i}", 60_000) for i in range(6)]
+RAW_REGIONS = f"""select concat('chr', cast(p_partkey % 6 as int)) as chrom,
+ cast((p_partkey*5003) % 48000 + {STRETCH.format('p_partkey')} as int) as start,
+ cast((p_partkey*5003) % 48000 + {STRETCH.format('p_partkey')} + 20 + p_size as int) as stop
+from part"""
+#: Of each chromosome; all are as long.
+LENGTH = f"select cast(60000 + {STRETCH.format('max(p_partkey)')} as bigint) as length from part"
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +54,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(raw_regions(spark, sf_dir).withColumn("start", F.greatest("start", F.lit(1))))
 
 
-def chroms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CHROMS, "tid int, name string, length bigint")
+def chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = spark.sql(LENGTH.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return length.selectExpr("inline(transform(sequence(0, 5), i -> struct(i as tid, concat('chr', i) as name, length)))")
