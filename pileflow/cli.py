@@ -15,6 +15,7 @@ from pileflow.sources import bam, bed, fasta, sam
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pileflow", description=__doc__)
+    p.add_argument("-v", "--version", action="version", version=report.VERSION)
     sub = p.add_subparsers(dest="command", required=True)
     d = sub.add_parser("depth", help="depth and coverage of targets")
     d.add_argument("files", nargs="+", help="SAM, BAM or Parquet")
@@ -29,6 +30,11 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--bamout")
     d.add_argument("-1", dest="one_based", action="store_true")
     d.add_argument("--compat", action="store_true")
+    d.add_argument("--refskip", choices=("stay", "advance"), default="stay", help="whether a CIGAR N moves the position")
+    d.add_argument("--flank-exclude-target", action="store_true")
+    d.add_argument("-T", "--reference", help="taken, but only CRAM needs it, which isn't read")
+    d.add_argument("--threads", type=int, default=0, help="taken without effect: Spark's settings say how much runs at once")
+    d.add_argument("--maxdepth", type=int, default=0, help="taken without effect")
     for name, about in (("merge", "union"), ("uniq", "intersection"), ("diff", "first minus the others"), ("trim", "cut ends"), ("0to1", "to 1-based starts"), ("1to0", "to 0-based starts")):
         t = sub.add_parser(name, help=about)
         t.add_argument("files", nargs="+")
@@ -44,36 +50,40 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def load(spark: SparkSession, files: list[str]):
-    """Reads of all files as one table, and the first header's chromosomes (None without one)."""
-    frames, chroms = [], None
+def load(spark: SparkSession, files: list[str], keep: bool = False):
+    """Reads of all files as one table, the first header's chromosomes and its text (None without one). ``keep``: with whole records."""
+    frames, chroms, text = [], None, None
     for f in files:
         if f.endswith(".bam"):
-            frames.append(bam.read(spark, f))
-            chroms = chroms if chroms is not None else bam.header(spark, f)
+            frames.append(bam.read(spark, f, keep=keep))
+            chroms, text = (chroms, text) if chroms is not None else (bam.header(spark, f), bam.header_text(f))
         elif ".parquet" in f:
             frames.append(spark.read.parquet(f))
         else:
-            frames.append(sam.read(spark, f))
-            chroms = chroms if chroms is not None else sam.header(spark, f)
+            frames.append(sam.read(spark, f, keep=keep))
+            chroms, text = (chroms, text) if chroms is not None else (sam.header(spark, f), sam.header_text(spark, f))
     out = frames[0]
     for x in frames[1:]:
-        out = out.unionByName(x)
-    return out, chroms
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out, chroms, text
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("pileflow").getOrCreate()
     if a.command == "depth":
-        o = Options(a.flank, a.mapthres, a.isize, a.uncover, tuple(int(x) for x in a.cutoffdepth.split(",") if x), tuple(float(x) for x in a.depthratio.split(",") if x), a.one_based, a.compat)
-        reads, chroms = load(spark, a.files)
-        run = Coverage(reads, bed.read(spark, a.bed, compat=a.compat), chroms, o)
+        cutoffs, ratios = (tuple(t(x) for x in given.split(",") if x) for t, given in ((int, a.cutoffdepth), (float, a.depthratio)))
+        o = Options(a.flank, a.mapthres, a.isize, a.uncover, cutoffs, ratios, compat=a.compat, refskip=a.refskip, flank_exclude_target=a.flank_exclude_target)
+        if a.threads < 0:
+            raise ValueError("threads can't be negative")
+        reads, chroms, text = load(spark, a.files, keep=bool(a.bamout))
+        # the reader moves 1-based starts, and knows the rows that hold a single position, which are 1-based anyway
+        run = Coverage(reads, bed.read(spark, a.bed, one_based=a.one_based, compat=a.compat), chroms, o)
         report.write(run, a.outdir, a.files)
         if a.bamout:
             if chroms is None:
                 raise ValueError("--bamout needs a header")
-            bam.write(run.target_reads(), chroms, a.bamout)
+            bam.write(run.target_reads(), chroms, a.bamout, text)
         return 0
     if a.command == "nruns":
         out = nruns.n_runs(fasta.read(spark, *a.files)).withColumnRenamed("name", "chrom")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pileflow.functions.formats import fixed, percent
 from pileflow.operators import stats
 from pileflow.plans.coverage import Coverage
-from pileflow.sources import bed
-from pileflow.sources.bgzf import Writer
+from pileflow.schema import Options
+from pileflow.sources import bed, bgzf
 
-VERSION = "0.1.0"
+VERSION = "0.2.0"
 
 
 def tree(m: dict, run: Coverage, files: list[str]) -> dict:
@@ -55,49 +55,138 @@ def write(run: Coverage, outdir: str, files: list[str] = ()) -> dict:
     os.makedirs(outdir, exist_ok=True)
     at = lambda name: os.path.join(outdir, name)
     run.persist()
-    figures = tree(run.metrics().first().asDict(), run, list(files))
-    with Writer(at("depth.tsv.gz")) as f:
-        f.write("#Chr\tPos\tRaw Depth\tRmdup depth\tCover depth\n")
-        for r in run.segments.orderBy("chrom", "s").toLocalIterator():
-            for p in range(r.s, r.e + 1):
-                f.write(f"{r.chrom}\t{p}\t{r.raw}\t{r.rmdup}\t{r.cover}\n")
-    with Writer(at("region.tsv.gz")) as f:
+    m = run.metrics().first().asDict()
+    figures, o = tree(m, run, list(files)), run.options
+    depths = run.in_order(run.segments, "s").select(F.explode(F.sequence("s", "e")).alias("pos"), "chrom", "raw", "rmdup", "cover")
+    bgzf.write_lines(depths.select(F.concat_ws("\t", "chrom", "pos", "raw", "rmdup", "cover").alias("line")), at("depth.tsv.gz"), "#Chr\tPos\tRaw Depth\tRmdup depth\tCover depth\n")
+    with bgzf.Writer(at("region.tsv.gz")) as f:
         f.write("#Chr\tStart\tStop\tAvg depth\tMedian\tCoverage\tCoverage(FIX)\n")
-        for r in run.region_stats().orderBy("chrom", "start").toLocalIterator():
+        for r in run.in_order(run.region_stats(), "start").toLocalIterator():
             f.write(f"{r.chrom}\t{r.start}\t{r.stop}\t{fixed(r.avg)}\t{fixed(r.median, 1)}\t{fixed(r.coverage)}\t{fixed(r.coverage_fix)}\n")
-    bed.write_file(run.uncovered(), at("uncover.bed"))
+    bed.write_file(run.in_order(run.uncovered(), "start"), at("uncover.bed"), ordered=True)
     from pileflow.operators.reads import insert_hist
 
-    for name, hist in (("depth_distribution.plot", stats.depth_hist(run.segments)), ("insertsize.plot", insert_hist(run.alignments, run.options.isize_limit))):
+    for name, hist in (("depth_distribution.plot", stats.depth_hist(run.segments)), ("insertsize.plot", insert_hist(run.alignments, o.isize_limit))):
         with open(at(name), "w") as f:
             f.writelines(f"{r.value}\t{r.cnt}\t{r.frac:f}\t{r.cnt_gt}\t{r.frac_gt:f}\n" for r in stats.cumulative(hist).orderBy("value").toLocalIterator())
-    o = run.options
     deep = [*dict.fromkeys([*o.thresholds, *o.cutoffs])]
     with open(at("chromosomes.report"), "w") as f:
         f.write("\t".join(["#Chromosome", "DATA(%)", "Avg depth", "Median", "Coverage%", *[f"Cov {t}x %" for t in deep]]) + "\n")
-        for r in stats.chrom_report(stats.chrom_hist(run.segments), o.thresholds, o.cutoffs).orderBy("chrom").toLocalIterator():
+        for r in run.in_order(stats.chrom_report(stats.chrom_hist(run.segments), o.thresholds, o.cutoffs)).toLocalIterator():
             f.write("\t".join([r.chrom, fixed(r.data_percent), fixed(r.avg), fixed(r.median, 1), fixed(r.coverage), *[fixed(r[f"cov_{t}x"]) for t in deep]]) + "\n")
     with open(at("coverage.report.json"), "w") as f:
         json.dump(figures, f, indent=2)
     with open(at("coverage.report"), "w") as f:
-        f.write(f"## Target coverage report\n## Version: {VERSION}\n## Files: {' '.join(files)}\n")
-        for label, value in lines(figures):
-            f.write(f"{label:>60}\t{value}\n")
+        f.write("## The file was created by pileflow\n" + f"## Version : {VERSION}\n## Files : " + "".join(f"{x} " for x in files) + "\n")
+        f.writelines(lines(figures, m, o))
     run.close()
     return figures
 
 
-def lines(figures: dict, path: str = "") -> list[tuple[str, str]]:
-    """The tree as (label, text): percent signs on fractions, two digits on other reals."""
+# The labels of coverage.report in their order, where each figure stands in the tree, and its form. A line with {} is
+# repeated for each custom cutoff (or ratio).
+LABELS = [
+    ("[Total] Raw Reads (All reads)", "total/raw_reads", "%d"),
+    ("[Total] QC Fail reads", "total/qc_fail_reads", "%d"),
+    ("[Total] Raw Data(Mb)", "total/raw_data_mb", "%.2f"),
+    ("[Total] Paired Reads", "total/paired_reads", "%d"),
+    ("[Total] Mapped Reads", "total/mapped_reads", "%d"),
+    ("[Total] Fraction of Mapped Reads", "total/mapped_reads_fraction", "%.2f%%"),
+    ("[Total] Mapped Data(Mb)", "total/mapped_data_mb", "%.2f"),
+    ("[Total] Fraction of Mapped Data(Mb)", "total/mapped_data_fraction", "%.2f%%"),
+    ("[Total] Properly paired", "total/properly_paired", "%d"),
+    ("[Total] Fraction of Properly paired", "total/properly_paired_fraction", "%.2f%%"),
+    ("[Total] Read and mate paired", "total/read_mate_paired", "%d"),
+    ("[Total] Fraction of Read and mate paired", "total/read_mate_paired_fraction", "%.2f%%"),
+    ("[Total] Singletons", "total/singletons", "%d"),
+    ("[Total] Read and mate map to diff chr", "total/diff_chr", "%d"),
+    ("[Total] Read1", "total/read1", "%d"),
+    ("[Total] Read2", "total/read2", "%d"),
+    ("[Total] Read1(rmdup)", "total/read1_rmdup", "%d"),
+    ("[Total] Read2(rmdup)", "total/read2_rmdup", "%d"),
+    ("[Total] forward strand reads", "total/forward_strand", "%d"),
+    ("[Total] backward strand reads", "total/backward_strand", "%d"),
+    ("[Total] PCR duplicate reads", "total/pcr_duplicates", "%d"),
+    ("[Total] Fraction of PCR duplicate reads", "total/pcr_duplicates_fraction", "%.2f%%"),
+    ("[Total] Map quality cutoff value", "total/mapq_cutoff", "%d"),
+    ("[Total] MapQuality above cutoff reads", "total/mapq_reads", "%d"),
+    ("[Total] Fraction of MapQ reads in all reads", "total/mapq_reads_fraction_all", "%.2f%%"),
+    ("[Total] Fraction of MapQ reads in mapped reads", "total/mapq_reads_fraction_mapped", "%.2f%%"),
+    ("[Insert size] Average", "insert_size/average", "%.2f"),
+    ("[Insert size] Median", "insert_size/median", "%.0d"),
+    ("[Target] Target Reads", "target/target_reads", "%d"),
+    ("[Target] Fraction of Target Reads in all reads", "target/target_reads_fraction_all", "%.2f%%"),
+    ("[Target] Fraction of Target Reads in mapped reads", "target/target_reads_fraction_mapped", "%.2f%%"),
+    ("[Target] Target Data(Mb)", "target/target_data_mb", "%.2f"),
+    ("[Target] Target Data Rmdup(Mb)", "target/target_data_rmdup_mb", "%.2f"),
+    ("[Target] Fraction of Target Data in all data", "target/target_data_fraction_all", "%.2f%%"),
+    ("[Target] Fraction of Target Data in mapped data", "target/target_data_fraction_mapped", "%.2f%%"),
+    ("[Target] Len of region", "target/region_length", "%d"),
+    ("[Target] Average depth", "target/average_depth", "%.2f"),
+    ("[Target] Average depth(rmdup)", "target/average_depth_rmdup", "%.2f"),
+    ("[Target] Coverage (>0.2*(Average depth)x)", "target/coverage/gt_0_2_avg", "%.2f%%"),
+    ("[Target] Coverage (>0.5*(Average depth)x)", "target/coverage/gt_0_5_avg", "%.2f%%"),
+    ("[Target] Coverage (>0x)", "target/coverage/gt_0x", "%.2f%%"),
+    ("[Target] Coverage (>=4x)", "target/coverage/gte_4x", "%.2f%%"),
+    ("[Target] Coverage (>=10x)", "target/coverage/gte_10x", "%.2f%%"),
+    ("[Target] Coverage (>=30x)", "target/coverage/gte_30x", "%.2f%%"),
+    ("[Target] Coverage (>=100x)", "target/coverage/gte_100x", "%.2f%%"),
+    ("[Target] Coverage (>={}x)", "cutoffs/tgt", "%.2f%%"),
+    ("[Target] Coverage(rmdup) (>0x)", "target/coverage_rmdup/gt_0x", "%.2f%%"),
+    ("[Target] Coverage(rmdup) (>=4x)", "target/coverage_rmdup/gte_4x", "%.2f%%"),
+    ("[Target] Coverage(rmdup) (>=10x)", "target/coverage_rmdup/gte_10x", "%.2f%%"),
+    ("[Target] Coverage(rmdup) (>=30x)", "target/coverage_rmdup/gte_30x", "%.2f%%"),
+    ("[Target] Coverage(rmdup) (>=100x)", "target/coverage_rmdup/gte_100x", "%.2f%%"),
+    ("[Target] Coverage(rmdup) (>={}x)", "cutoffs/rmdup", "%.2f%%"),
+    ("[Target] Coverage (>{:.1f}*Avg)", "ratios", "%.2f%%"),
+    ("[Target] Target Region Count", "target/region_count", "%d"),
+    ("[Target] Region covered > 0x", "target/region_coverage/gt_0x_count", "%d"),
+    ("[Target] Fraction Region covered > 0x", "target/region_coverage/gt_0x_fraction", "%.2f%%"),
+    ("[Target] Fraction Region covered >= 4x", "target/region_coverage/gte_4x_fraction", "%.2f%%"),
+    ("[Target] Fraction Region covered >= 10x", "target/region_coverage/gte_10x_fraction", "%.2f%%"),
+    ("[Target] Fraction Region covered >= 30x", "target/region_coverage/gte_30x_fraction", "%.2f%%"),
+    ("[Target] Fraction Region covered >= 100x", "target/region_coverage/gte_100x_fraction", "%.2f%%"),
+    ("[Target] Fraction Region covered (>={}x)", "cutoffs/reg", "%.2f%%"),
+    ("[flank] flank size", "flank/flank_size", "%d"),
+    ("[flank] Len of region (not include target region)", "flank/region_length", "%d"),
+    ("[flank] Average depth", "flank/average_depth", "%.2f"),
+    ("[flank] flank Reads", "flank/flank_reads", "%d"),
+    ("[flank] Fraction of flank Reads in all reads", "flank/flank_reads_fraction_all", "%.2f%%"),
+    ("[flank] Fraction of flank Reads in mapped reads", "flank/flank_reads_fraction_mapped", "%.2f%%"),
+    ("[flank] flank Data(Mb)", "flank/flank_data_mb", "%.2f"),
+    ("[flank] Fraction of flank Data in all data", "flank/flank_data_fraction_all", "%.2f%%"),
+    ("[flank] Fraction of flank Data in mapped data", "flank/flank_data_fraction_mapped", "%.2f%%"),
+    ("[flank] Coverage (>0x)", "flank/coverage/gt_0x", "%.2f%%"),
+    ("[flank] Coverage (>=4x)", "flank/coverage/gte_4x", "%.2f%%"),
+    ("[flank] Coverage (>=10x)", "flank/coverage/gte_10x", "%.2f%%"),
+    ("[flank] Coverage (>=30x)", "flank/coverage/gte_30x", "%.2f%%"),
+    ("[flank] Coverage (>=100x)", "flank/coverage/gte_100x", "%.2f%%"),
+    ("[flank] Coverage (>={}x)", "cutoffs/flk", "%.2f%%"),
+]
+
+
+def _shown(value: float | None, form: str) -> str:
+    """C's printf: nothing divided by nothing is nan, and a precision of no digits shows no 0."""
+    if form.endswith("d"):
+        return "" if form == "%.0d" and not value else str(int(value or 0))
+    return form % (float("nan") if value is None else value)
+
+
+def lines(figures: dict, m: dict, o: Options) -> list[str]:
+    """The lines of coverage.report below its head."""
     out = []
-    for k, v in figures.items():
-        label = f"[{path}] {k}" if path else k
-        if isinstance(v, dict):
-            out += lines(v, f"{path}/{k}" if path else k)
-        elif not isinstance(v, (list, str)):
-            share = "fraction" in k or k.startswith(("gt", "gte"))
-            out.append((label, str(v) if isinstance(v, int) else fixed(v) + "%" * (share and v is not None)))
-    return out
+    for label, path, form in LABELS:
+        first, *rest = path.split("/")
+        if first == "cutoffs":
+            out += [(label.format(t), m[f"{rest[0]}_{t}x"], form) for t in o.cutoffs]
+        elif first == "ratios":
+            out += [(label.format(r), m[f"tgt_gt_{r:g}_ratio"], form) for r in o.ratios]
+        else:
+            at = figures[first]
+            for k in rest:
+                at = at.get(k) if at is not None else None
+            out.append((label, at, form))
+    return [f"{label:>60}\t{_shown(value, form)}\n" for label, value, form in out]
 
 
 def tidy(run: Coverage):

@@ -30,8 +30,10 @@ def write(regions: DataFrame, path: str) -> None:
     regions.select("chrom", "start", "stop").orderBy("chrom", "start", "stop").write.mode("overwrite").csv(path, sep="\t")
 
 
-def write_file(regions: DataFrame, path: str) -> None:
-    """One file beside the driver, row by row from the cluster: for reports."""
+def write_file(regions: DataFrame, path: str, ordered: bool = False) -> None:
+    """One file beside the driver, row by row from the cluster: for reports. ``ordered``: the rows are in their order already."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    rows = regions.select("chrom", "start", "stop")
+    rows = rows if ordered else rows.orderBy("chrom", "start", "stop")
     with open(path, "w") as f:
-        f.writelines(f"{r.chrom}\t{r.start}\t{r.stop}\n" for r in regions.select("chrom", "start", "stop").orderBy("chrom", "start", "stop").toLocalIterator())
+        f.writelines(f"{r.chrom}\t{r.start}\t{r.stop}\n" for r in rows.toLocalIterator())

@@ -6,6 +6,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 #: Most input bytes in a block.
 BLOCK = 0xFF00
 # Fixed value: the empty block that ends a file.
@@ -48,6 +51,51 @@ def blocks(f) -> Iterator[tuple[int, bytes]]:
         yield at, zlib.decompress(rest[:-8], -15)
 
 
+def find(f, begin: int) -> int | None:
+    """Where the first block from ``begin`` on starts: a place that looks like one and is followed by another, or by the end."""
+    f.seek(begin)
+    at, data = begin, f.read(1 << 18)
+    while data:
+        i = data.find(b"\x1f\x8b\x08\x04")
+        while 0 <= i <= len(data) - 18:
+            if data[i + 12 : i + 14] == b"BC":
+                size = struct.unpack_from("<H", data, i + 16)[0] + 1
+                f.seek(at + i + size)
+                after = f.read(4)
+                if after in (b"", b"\x1f\x8b\x08\x04"):
+                    return at + i
+            i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+        at += max(1, len(data) - 17)
+        f.seek(at)
+        data = f.read(1 << 18)
+        if len(data) < 18:
+            return None
+    return None
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the lines of a partition."""
+    kept = bytearray()
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            kept += x.encode() + b"\n"
+        if len(kept) >= 16 * BLOCK:
+            full = len(kept) // BLOCK * BLOCK
+            yield pa.record_batch([pa.array([compress(bytes(kept[:full]))], pa.binary())], ["data"])
+            del kept[:full]
+    if kept:
+        yield pa.record_batch([pa.array([compress(bytes(kept))], pa.binary())], ["data"])
+
+
+def write_lines(rows: DataFrame, path: str, head: str = "") -> None:
+    """One file beside the driver from a sorted table of one string column: tasks write and compress the blocks, the driver appends them in order."""
+    with open(path, "wb") as f:
+        f.write(compress(head.encode()))
+        for r in rows.mapInArrow(_framed, "data binary").toLocalIterator():
+            f.write(r.data)
+        f.write(EOF)
+
+
 class Writer:
     """A file of tab-separated rows that block-gzip tools can index."""
 

@@ -16,20 +16,25 @@ def _lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Rows of ``value`` to reads; positions become 0-based, ``=`` as mate reference is resolved."""
+def parse(lines: DataFrame, keep: bool = False) -> DataFrame:
+    """Rows of ``value`` to reads; positions become 0-based, ``=`` as mate reference is resolved. ``keep``: with the line itself."""
     t = F.split("value", "\t")
-    rows = lines.where("not startswith(value, '@') and value != ''").select(t.alias("t")).where("size(t) >= 11")
+    rows = lines.where("not startswith(value, '@') and value != ''").select(t.alias("t"), F.col("value").alias("line")).where("size(t) >= 11")
     f = lambda k: F.get("t", F.lit(k))  # noqa: E731  a filter may run after what stands above it
     i = lambda k: f(k).try_cast("int")
     mate = F.when(f(6) == "=", f(2)).otherwise(f(6))
     length = F.when(f(9) == "*", 0).otherwise(F.length(f(9)))
-    return rows.select(f(2).alias("rname"), (i(3) - 1).alias("pos"), i(1).alias("flag"), i(4).alias("mapq"), length.alias("l_qseq"), mate.alias("mate_rname"), i(8).alias("isize"), f(5).alias("cigar"))
+    return rows.select(f(2).alias("rname"), (i(3) - 1).alias("pos"), i(1).alias("flag"), i(4).alias("mapq"), length.alias("l_qseq"), mate.alias("mate_rname"), i(8).alias("isize"), f(5).alias("cigar"), *(["line"] if keep else []))
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
+def read(spark: SparkSession, *paths: str, keep: bool = False) -> DataFrame:
     """Any number of files, in any order."""
-    return parse(_lines(spark, *paths))
+    return parse(_lines(spark, *paths), keep)
+
+
+def header_text(spark: SparkSession, path: str) -> str:
+    """The header's lines, which are few."""
+    return "".join(r.value + "\n" for r in _lines(spark, path).where("startswith(value, '@')").collect())
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pileflow import cli
 from pileflow.functions.formats import fixed
 from pileflow.operators import depth, intervals, nruns, reads, stats
+from pileflow.plans import report
 from pileflow.plans.coverage import Coverage
 from pileflow.schema import CHROMS, READS, REGIONS, Options
 from pileflow.sources import bam, bed, bgzf, fasta, sam
@@ -129,12 +130,168 @@ def test_n_runs(spark, tmp_path):
     assert nruns.n_runs(s, compat=True).count() == 2
 
 
+def test_fasta_headers(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">chr1 a>b len\nAC>NN\nN\n>chr2\r\nNNA\r\n>empty\n")
+    got = sorted(map(tuple, fasta.read(spark, str(tmp_path / "a.fa")).collect()))
+    assert got == [("chr1 a>b len", "AC>NNN"), ("chr2", "NNA"), ("empty", "")]
+
+
+def run_stream(spark, made, mode, name):
+    q = made.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
 def test_streams(spark, micro, tmp_path):
     micro[0].write.parquet(str(tmp_path / "in"))
-    for made, mode, name in ((counters.classes, "complete", "classes"), (counters.bin_depth, "append", "bins")):
-        q = made(counters.read(spark, str(tmp_path / "in"))).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert {r[0]: r[1] for r in spark.table("classes").collect()} == {1: 2, 2: 1, -3: 1}
+    got = run_stream(spark, counters.classes(counters.read(spark, str(tmp_path / "in"))), "complete", "classes")
+    assert {r[0]: r[1] for r in got} == {1: 2, 2: 1, -3: 1}
+    rows = [("c1", 11, 0, 60, 10, "*", 0, "10M"), ("c1", 12, 0, 60, 8, "*", 0, "2M4D2M"), ("c1", 100, 0, 60, 4, "*", 0, "4M"), ("c2", 3, 0, 60, 2, "*", 0, "2M"), ("c2", 500, 0, 60, 2, "*", 0, "2M")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], READS).coalesce(1).write.parquet(str(tmp_path / f"s/{i}"))
+    # one file a batch, in order: c2 begins after c1 has passed the watermark, and isn't late
+    stream = counters.read(spark, str(tmp_path / "s/*"), maxFilesPerTrigger="1")
+    got = {(r.chrom, r.bin): (r.raw, r.rmdup, r.cover) for r in run_stream(spark, counters.bin_depth(stream, ["c1", "c2"], 1, bins=16), "append", "bins")}
+    # 1-based blocks 12-21, 13-14, 15-18, 19-20 over the border between 16 and 17
+    assert got["c1", 0] == (5 + 2, 5 + 2, 5 + 2 + 2) and got["c1", 1] == (5 + 2, 5 + 2, 5 + 2 + 2) and got["c1", 6] == (4, 4, 4)
+    late = run_stream(spark, counters.disorder(counters.read(spark, str(tmp_path / "s/*"), maxFilesPerTrigger="1")), "update", "late")
+    assert sum(r.late for r in late) == 0 and max(r.reached for r in late if r.chrom == "c1") == 100
+
+
+def test_single_positions_with_one_based_starts(spark, tmp_path):
+    (tmp_path / "t.bed").write_text("chr1 12\nchr1 1\nchr1 31 40\n")
+    (tmp_path / "x.sam").write_text("@SQ\tSN:chr1\tLN:1000\nq\t0\tchr1\t6\t60\t10M\t*\t0\t0\t*\t*\n")
+    assert cli.main(["depth", str(tmp_path / "x.sam"), "-p", str(tmp_path / "t.bed"), "-o", str(tmp_path / "o"), "-1", "--threads", "2", "-T", "none.fa", "--maxdepth", "5"], spark) == 0
+    with gzip.open(tmp_path / "o" / "region.tsv.gz", "rt") as f:
+        assert [tuple(x.split("\t")[:3]) for x in f][1:] == [("chr1", "0", "1"), ("chr1", "11", "12"), ("chr1", "30", "40")]
+
+
+def test_bam_pieces_and_long_cigars(spark, tmp_path):
+    chroms = spark.createDataFrame([(0, "chr1", 100_000_000), (1, "chr2", 500)], CHROMS)
+    many = "1M1I" * 40_000
+    rows = [("chr1", i * 7, 0, 60, 90, "*", 0, "90M") for i in range(12_000)] + [("chr2", 5, 0, 60, 80_000, "chr1", 3, many)]
+    reads_ = spark.createDataFrame(rows, READS)
+    p = str(tmp_path / "x.bam")
+    bam.write(reads_, chroms, p)
+    whole = sorted(map(tuple, bam.read(spark, p).collect()))
+    assert whole == sorted(rows)
+    pieces = bam.read(spark, p, piece=4_000)
+    assert pieces.rdd.getNumPartitions() > 5 and sorted(map(tuple, pieces.collect())) == whole
+    blocks = depth.read_blocks(pieces.where("rname = 'chr2'"))
+    assert blocks.count() == 40_000 and blocks.agg({"e": "max"}).first()[0] == 40_005
+
+
+def test_exported_records_keep_everything(spark, tmp_path):
+    lines = [
+        "r1\t99\tchr2\t11\t60\t4M1I5M\t=\t101\t95\tACGTNACGTA\tIIIIIHHHHH\tNM:i:1\tRG:Z:grp\tXA:A:x\tXF:f:0.5\tXB:B:s,1,-2,3\tXH:H:1AFF",
+        "r0\t16\tchr1\t5\t37\t3S7M\tchr2\t9\t-20\tACGTTACGTA\t*", "r9\t4\t*\t0\t0\t*\t*\t0\t0\tACG\tIII",
+    ]
+    text = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr2\tLN:500\n@SQ\tSN:chr1\tLN:300\n@RG\tID:grp\n"
+    (tmp_path / "x.sam").write_text(text + "\n".join(lines) + "\n")
+    (tmp_path / "t.bed").write_text("chr1\t0\t300\nchr2\t0\t500\n")
+    one, two = str(tmp_path / "one.bam"), str(tmp_path / "two.bam")
+    assert cli.main(["depth", str(tmp_path / "x.sam"), "-p", str(tmp_path / "t.bed"), "-o", str(tmp_path / "o"), "--bamout", one], spark) == 0
+    assert cli.main(["depth", one, "-p", str(tmp_path / "t.bed"), "-o", str(tmp_path / "o2"), "--bamout", two], spark) == 0
+    assert bam.header_text(one) == bam.header_text(two) == text
+    kept = [list(bam.records(p, keep=True)) for p in (one, two)]
+    assert kept[0] == kept[1] and [r[:4] for r in kept[0]] == [("chr2", 10, 99, 60), ("chr1", 4, 16, 37)]
+    first = kept[0][0][8]
+    assert b"r1\0" in first and b"NMi\x01\0\0\0" in first and b"RGZgrp\0" in first and b"XBBs\x03\0\0\0\x01\0\xfe\xff\x03\0" in first and bytes([40, 40, 40, 40, 40, 39]) in first
+    assert bytes([0x12, 0x48, 0xF1, 0x24, 0x81]) in first  # bases by their numbers
+    # the header's order, in which chr2 comes before chr1
+    with gzip.open(tmp_path / "o" / "region.tsv.gz", "rt") as f:
+        assert [x.split("\t")[0] for x in f][1:] == ["chr2", "chr1"]
+    assert [x.split("\t")[0] for x in (tmp_path / "o" / "chromosomes.report").read_text().splitlines()][1:] == ["chr2", "chr1"]
+    assert [x.split("\t")[0] for x in (tmp_path / "o" / "uncover.bed").read_text().splitlines()][0] == "chr2"
+
+
+GOLDEN = """\
+[Total] Raw Reads (All reads)\t4
+[Total] QC Fail reads\t0
+[Total] Raw Data(Mb)\t0.00
+[Total] Paired Reads\t2
+[Total] Mapped Reads\t3
+[Total] Fraction of Mapped Reads\t75.00%
+[Total] Mapped Data(Mb)\t0.00
+[Total] Fraction of Mapped Data(Mb)\t63.64%
+[Total] Properly paired\t2
+[Total] Fraction of Properly paired\t50.00%
+[Total] Read and mate paired\t2
+[Total] Fraction of Read and mate paired\t50.00%
+[Total] Singletons\t0
+[Total] Read and mate map to diff chr\t0
+[Total] Read1\t2
+[Total] Read2\t0
+[Total] Read1(rmdup)\t1
+[Total] Read2(rmdup)\t0
+[Total] forward strand reads\t3
+[Total] backward strand reads\t0
+[Total] PCR duplicate reads\t1
+[Total] Fraction of PCR duplicate reads\t33.33%
+[Total] Map quality cutoff value\t20
+[Total] MapQuality above cutoff reads\t2
+[Total] Fraction of MapQ reads in all reads\t50.00%
+[Total] Fraction of MapQ reads in mapped reads\t66.67%
+[Insert size] Average\tnan
+[Insert size] Median\t
+[Target] Target Reads\t3
+[Target] Fraction of Target Reads in all reads\t75.00%
+[Target] Fraction of Target Reads in mapped reads\t100.00%
+[Target] Target Data(Mb)\t0.00
+[Target] Target Data Rmdup(Mb)\t0.00
+[Target] Fraction of Target Data in all data\t49.09%
+[Target] Fraction of Target Data in mapped data\t77.14%
+[Target] Len of region\t41
+[Target] Average depth\t0.66
+[Target] Average depth(rmdup)\t0.12
+[Target] Coverage (>0.2*(Average depth)x)\t100.00%
+[Target] Coverage (>0.5*(Average depth)x)\t100.00%
+[Target] Coverage (>0x)\t58.54%
+[Target] Coverage (>=4x)\t0.00%
+[Target] Coverage (>=10x)\t0.00%
+[Target] Coverage (>=30x)\t0.00%
+[Target] Coverage (>=100x)\t0.00%
+[Target] Coverage (>=2x)\t7.32%
+[Target] Coverage(rmdup) (>0x)\t12.20%
+[Target] Coverage(rmdup) (>=4x)\t0.00%
+[Target] Coverage(rmdup) (>=10x)\t0.00%
+[Target] Coverage(rmdup) (>=30x)\t0.00%
+[Target] Coverage(rmdup) (>=100x)\t0.00%
+[Target] Coverage(rmdup) (>=2x)\t0.00%
+[Target] Coverage (>0.2*Avg)\t58.54%
+[Target] Coverage (>0.5*Avg)\t58.54%
+[Target] Target Region Count\t4
+[Target] Region covered > 0x\t1
+[Target] Fraction Region covered > 0x\t25.00%
+[Target] Fraction Region covered >= 4x\t0.00%
+[Target] Fraction Region covered >= 10x\t0.00%
+[Target] Fraction Region covered >= 30x\t0.00%
+[Target] Fraction Region covered >= 100x\t0.00%
+[Target] Fraction Region covered (>=2x)\t0.00%
+[flank] flank size\t200
+[flank] Len of region (not include target region)\t776
+[flank] Average depth\t0.04
+[flank] flank Reads\t3
+[flank] Fraction of flank Reads in all reads\t75.00%
+[flank] Fraction of flank Reads in mapped reads\t100.00%
+[flank] flank Data(Mb)\t0.00
+[flank] Fraction of flank Data in all data\t54.55%
+[flank] Fraction of flank Data in mapped data\t85.71%
+[flank] Coverage (>0x)\t3.48%
+[flank] Coverage (>=4x)\t0.00%
+[flank] Coverage (>=10x)\t0.00%
+[flank] Coverage (>=30x)\t0.00%
+[flank] Coverage (>=100x)\t0.00%
+[flank] Coverage (>=2x)\t0.39%
+"""
+
+
+def test_text_report_line_by_line(spark, micro, tmp_path):
+    r, b, c = micro
+    report.write(Coverage(r, b, c, Options(cutoffs=(2,))), str(tmp_path), ["a.bam"])
+    head, body = (tmp_path / "coverage.report").read_text().split("a.bam \n")
+    assert head.endswith("## Files : ") and [x.strip() for x in body.splitlines()] == [x.strip() for x in GOLDEN.splitlines()]
+    assert all(x.index("\t") == 60 or len(x.split("\t")[0]) > 60 for x in body.splitlines())
 
 
 def test_options_and_formats():
