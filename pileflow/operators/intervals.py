@@ -11,20 +11,33 @@ from pyspark.sql import functions as F
 BIN = 1 << 14
 
 
-def merge(regions: DataFrame) -> DataFrame:
-    """Union of a set with itself: overlapping and bookended intervals become one."""
-    before = Window.partitionBy("chrom").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("chrom").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+def _islands(regions: DataFrame, *by: str) -> DataFrame:
+    """Overlapping and bookended intervals of each group as one."""
+    before = Window.partitionBy(*by).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*by).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        regions.select("chrom", "start", "stop")
-        .withColumn("_new", F.when(F.max("stop").over(before) >= F.col("start"), 0).otherwise(1))
+        regions.withColumn("_new", F.when(F.max("stop").over(before) >= F.col("start"), 0).otherwise(1))
         .withColumn("_island", F.sum("_new").over(upto))
-        .groupBy("chrom", "_island")
+        .groupBy(*by, "_island")
         .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
         .drop("_island")
     )
 
 
+def merge(regions: DataFrame, bins: int = BIN) -> DataFrame:
+    """Union of a set with itself: overlapping and bookended intervals become one. Empty intervals stay where nothing touches them.
+
+    Cut and merged by (chrom, bin); only what touches a bin's border, two islands a bin at most, is merged again by chromosome.
+    """
+    at = lambda c: F.floor(F.col(c) / bins).cast("int")
+    cut = regions.select("chrom", "start", "stop", F.greatest("start", F.col("stop") - 1).alias("_last")).withColumn("bin", F.explode(F.sequence(at("start"), at("_last"))))
+    low, high = F.col("bin") * bins, (F.col("bin") + 1) * bins
+    parts = _islands(cut.select("chrom", "bin", F.greatest("start", low).alias("start"), F.least("stop", high).alias("stop")), "chrom", "bin")
+    borders = (F.col("start") == low) | (F.col("stop") == high)
+    inner = parts.where(~borders).select("chrom", "start", "stop")
+    return inner.unionByName(_islands(parts.where(borders).select("chrom", "start", "stop"), "chrom"))
+
+
 def union(*sets: DataFrame) -> DataFrame:
     """All intervals of all sets, unmerged."""
     return reduce(DataFrame.unionByName, [s.select("chrom", "start", "stop") for s in sets])
@@ -83,20 +96,20 @@ def intersect(*sets: DataFrame) -> DataFrame:
 
 
 def subtract(a: DataFrame, *others: DataFrame, compat: bool = False) -> DataFrame:
-    """What lies in a and in none of the others: a sweep over signed boundary events.
+    """What lies in a and in none of the others: a sweep over signed boundary events, by (chrom, bin). Empty intervals have nothing to lose and go.
 
     compat: the last remaining interval of each chromosome that the others touch is lost.
     """
     b = merge(union(*others))
-    events = merge(a).selectExpr("chrom", "inline(array(struct(start as p, 1 as da, 0 as db), struct(stop as p, -1 as da, 0 as db)))").unionByName(
-        b.selectExpr("chrom", "inline(array(struct(start as p, 0 as da, 1 as db), struct(stop as p, 0 as da, -1 as db)))")
-    )
-    w = Window.partitionBy("chrom").orderBy("p")
+    cut = lambda x, which: binned(x).selectExpr("chrom", "bin", f"inline(array(struct(s - 1 as p, 1 as {which}), struct(e as p, -1 as {which})))")
+    events = cut(merge(a), "da").unionByName(cut(b, "db"), allowMissingColumns=True).na.fill(0, ["da", "db"])
+    w = Window.partitionBy("chrom", "bin").orderBy("p")
     swept = (
-        events.groupBy("chrom", "p").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+        events.groupBy("chrom", "bin", "p").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
         .select("chrom", F.col("p").alias("start"), F.lead("p").over(w).alias("stop"), F.sum("da").over(w).alias("in_a"), F.sum("db").over(w).alias("in_b"))
         .where("in_a > 0 and in_b = 0 and stop is not null")
     )
+    swept = merge(swept.select("chrom", "start", "stop"))
     out = swept.select("chrom", "start", "stop")
     if compat:
         last = Window.partitionBy("chrom").orderBy(F.desc("start"))

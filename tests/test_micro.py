@@ -305,3 +305,10 @@ def test_options_and_formats():
 def test_one_based(micro):
     r, b, c = micro
     assert ("chr1", 9, 30) in as_set(Coverage(r, b, c, Options(one_based=True)).target)
+
+
+def test_merge_over_borders_of_bins(spark):
+    rows = [("c", 0, 8), ("c", 8, 16), ("c", 16, 30), ("c", 33, 33), ("c", 40, 41), ("c", 48, 48), ("c", 47, 48), ("c", 64, 64), ("d", 5, 70), ("d", 7, 9), ("d", -1, 3), ("d", 80, 96), ("d", 97, 99)]
+    r = spark.createDataFrame(rows, REGIONS)
+    want = {("c", 0, 30), ("c", 33, 33), ("c", 40, 41), ("c", 47, 48), ("c", 64, 64), ("d", -1, 3), ("d", 5, 70), ("d", 80, 96), ("d", 97, 99)}
+    assert all(as_set(intervals.merge(r, bins)) == want and intervals.merge(r, bins).count() == len(want) for bins in (1, 4, 16, 1 << 14))
