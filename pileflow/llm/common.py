@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,39 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Bytes of a text whose words are objects at one time, and bytes of text that a step of a task works on.
+PIECE, STEP = 1 << 20, 1 << 22
+_BLANKS = b" \t\n\x0b\x0c\r"
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """hashed(words(text)), piece by piece, so that a very long text isn't millions of objects at once."""
+    data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    if len(data) <= PIECE:
+        return hashed(data.split())
+    out, at = [], 0
+    while at < len(data):
+        to = at + PIECE
+        while to < len(data) and data[to] not in _BLANKS:
+            to += 1
+        out.append(hashed(data[at:to].split()))
+        at = to
+    return np.concatenate(out)
+
+
+def sliced(batches: Batches, column: int, step: int = STEP) -> Batches:
+    """Batches in slices of about ``step`` bytes of a text column, so that what a task derives from them stays small."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(size):
+            continue
+        part = (np.cumsum(size) - size) // step
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
+        for a, z in zip(edges, edges[1:], strict=False):
+            yield b.slice(a, z - a)
+        pa.default_memory_pool().release_unused()
+
+
 def hashed(tokens: list[bytes]) -> np.ndarray:
     """64-bit hashes, the same on every machine."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
@@ -66,12 +100,18 @@ class Workspace:
     """Tables written to the folder of spark.checkpoint.dir, which driver and executors share: they cut lineage and survive lost executors.
 
     Where that setting is missing a temporary folder takes its place if all runs on one machine; on a cluster this raises.
+    Operators that write tables also move large values through Arrow, so batches of the session are bounded to BATCH bytes
+    unless it has a bound of its own: both sides of the pipe hold a batch of every running task, outside the heap.
     """
 
+    BATCH, SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
         if not base and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if spark.conf.get(self.SETTING) in ("64MB", "67108864b"):  # the default
+            spark.conf.set(self.SETTING, str(self.BATCH))
         self.spark, self.path = spark, f"{base or tempfile.mkdtemp(prefix='pileflow-')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pileflow.llm.bloom import bloom
-from pileflow.llm.common import Batches, Workspace, guarded, hashed, mixed, partitions, runs, words
+from pileflow.llm.common import Batches, Workspace, guarded, mixed, partitions, runs, sliced, word_hashes
 from pileflow.llm.components import Forest, components
 
 WORDS, PERCENT = 5, 75
@@ -39,7 +39,7 @@ CHECK_BYTES, TOGETHER = 1 << 26, 64
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; the whole sequence if it has fewer words."""
-    w = hashed(words(text))
+    w = word_hashes(text)
     if not len(w):
         return w
     size = min(n, len(w))
@@ -308,7 +308,7 @@ def checked(spark: SparkSession, space: Workspace, docs: DataFrame, nodes: DataF
 
     def pick(batches: Batches) -> Batches:
         told: set[int] = set()
-        for b in batches:
+        for b in sliced(batches, 1):
             rows = b.filter(pa.array(sieve.has(b.column(0).to_numpy())))
             who = [node(shingles(t.as_py())) for t in rows.column(1)]
             new = [i for i, k in enumerate(who) if not (k in told or told.add(k))]
@@ -331,7 +331,7 @@ def _related(spark: SparkSession, space: Workspace, docs: DataFrame, crowd: int)
     names = ["doc_id", "n_shingles", "node", "sig", "bucket", "shingles"]
 
     def sets(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches, 1):
             found = [shingles(t.as_py()) for t in b.column(1)]
             nodes = np.array([node(s) for s in found], np.int64)
             sizes = np.array([len(s) for s in found], np.int64)
@@ -372,7 +372,7 @@ def _related(spark: SparkSession, space: Workspace, docs: DataFrame, crowd: int)
 
     def index(batches: Batches) -> Batches:
         told: set[int] = set()
-        for b in batches:
+        for b in sliced(batches, 0):
             found = {}
             for t in b.column(0):
                 s = shingles(t.as_py())
@@ -452,11 +452,11 @@ def _deduplicated(spark: SparkSession, docs: DataFrame, crowd: int) -> DataFrame
     i = len(columns)
 
     def sure(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches, at):
             yield pa.RecordBatch.from_arrays(b.columns[:i], columns).filter(pa.array(~sieve.has(b.column(i).to_numpy())))
 
     def unsure(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches, at):
             b = b.filter(pa.array(sieve.has(b.column(i).to_numpy())))
             nodes = [node(shingles(t.as_py())) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[:i], pa.array(nodes, pa.int64())], [*columns, "_node"])

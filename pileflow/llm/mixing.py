@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pileflow.llm.common import Batches, Workspace, guarded, mixed
+from pileflow.llm.common import Batches, Workspace, guarded, mixed, sliced
 
 BLOCK, SLOTS, SEED, MOST = 64, 8192, 20240229, 3
 #: Parts of a source whose sizes are summed apart, so that a source with a third of all rows is many tasks' work: so many, or one for each PART rows of the table.
@@ -95,7 +95,7 @@ def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
     i = len(keep)
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches, i + 1):
             n = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in b.column(i + 1).to_pylist()]
             yield pa.record_batch([*b.columns[:i], pa.array(n, pa.int64()), b.column(i)], [*keep, "size", "mark"])
 
@@ -196,7 +196,7 @@ def _mixed(spark: SparkSession, docs: DataFrame, options: dict) -> DataFrame:
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
 
     def cut(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches, at):
             rows, texts = [], []
             for i, (text, took) in enumerate(zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)):
                 data = text.encode("utf-8", "surrogatepass")

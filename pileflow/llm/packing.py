@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pileflow.llm.common import Batches, Workspace
+from pileflow.llm.common import Batches, Workspace, sliced
 from pileflow.llm.tokens import ByteBpe
 
 #: Pieces of one length that are ranked together; up to FEW parts a length, LITTLE pieces are enough for one.
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int = 2, library: str | None
     def run(batches: Batches) -> Batches:
         encoder = ByteBpe(library, ranks)
         tail = np.array([end_id], np.uint32)
-        for b in batches:
+        for b in sliced(batches, 1):
             rows, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1)):
                 ids = np.concatenate([encoder.ids(text.as_py()), tail]).astype("<u4", copy=False)

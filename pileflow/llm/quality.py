@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pileflow.llm.common import Batches, crc_mod, guarded, words
+from pileflow.llm.common import Batches, crc_mod, guarded, sliced, word_hashes
 
 #: Slots of hashed words, slots of statistics after them, factors, and the bound on training rows.
 WORD_SLOTS, STATS, LEVELS, FACTORS, ROWS = 1 << 14, 14, 12, 8, 12_000
 SIZE = WORD_SLOTS + STATS * LEVELS
 
 
-def statistics(text: str, tokens: list[bytes]) -> list[int]:
-    """Levels 0 to LEVELS - 1 of what the text looks like."""
+def statistics(text: str, n_tokens: int, counts: np.ndarray) -> list[int]:
+    """Levels 0 to LEVELS - 1 of what the text looks like, from it and the counts of its distinct words."""
     n, lines = max(1, len(text)), text.split("\n")
     data = text.encode("utf-8", "surrogatepass")
     c = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
@@ -26,27 +23,26 @@ def statistics(text: str, tokens: list[bytes]) -> list[int]:
     spaces = c[32] + c[9:14].sum()
     marks = c[33:127].sum() - lower - upper - digits
     plain = c[44] + c[46] + c[39] + c[45] + c[58] + c[59] + c[63]
-    counts = Counter(tokens)
     share = lambda x, of, by=1.0: int(min(LEVELS - 1, (LEVELS * by * x / max(1, of)) if x else 0))
     log = lambda x: int(min(LEVELS - 1, np.log2(1 + x)))
     # 0 stands for none at all, so that rare signs differ from no signs
     rare = lambda x, of: int(min(LEVELS - 1, 0 if not x else max(1, 12 + np.log2(x / max(1, of))))) if x else 0
     return [
-        log(len(tokens)), log(n / 8), share(upper, lower + upper, 2), rare(digits, total), rare(marks - plain, total), rare(plain, total), share(spaces, total, 3),
-        share(len(counts), len(tokens)), share(max(counts.values(), default=0), len(tokens), 3), log(len(lines)), log(max(map(len, lines)) / 8),
-        share(len(lines) - len(set(lines)), len(lines)), log(n / max(1, len(tokens))), rare(c[128:].sum(), total),
+        log(n_tokens), log(n / 8), share(upper, lower + upper, 2), rare(digits, total), rare(marks - plain, total), rare(plain, total), share(spaces, total, 3),
+        share(len(counts), n_tokens), share(int(counts.max(initial=0)), n_tokens, 3), log(len(lines)), log(max(map(len, lines)) / 8),
+        share(len(lines) - len(set(lines)), len(lines)), log(n / max(1, n_tokens)), rare(c[128:].sum(), total),
     ]
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values): words by logarithm of their count, as a unit vector; each statistic's level."""
     text = text or ""
-    tokens = words(text)
-    slots = np.fromiter((xxhash.xxh3_64_intdigest(w) & (WORD_SLOTS - 1) for w in tokens), np.int64, len(tokens))
-    ids, n = np.unique(slots, return_counts=True)
+    distinct, counts = np.unique(word_hashes(text), return_counts=True)
+    ids, to = np.unique((distinct & np.uint64(WORD_SLOTS - 1)).astype(np.int64), return_inverse=True)
+    n = np.bincount(to, counts, len(ids))
     value = np.log1p(n)
     value /= max(1e-9, np.sqrt((value * value).sum()))
-    levels = WORD_SLOTS + np.arange(STATS) * LEVELS + np.array(statistics(text, tokens))
+    levels = WORD_SLOTS + np.arange(STATS) * LEVELS + np.array(statistics(text, int(counts.sum()), counts))
     return np.concatenate([ids, levels]), np.concatenate([value, np.full(STATS, STATS**-0.5)])
 
 
@@ -114,7 +110,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: li
     schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
+        for b in sliced(batches, len(keep)):
             z = np.array([margin(*features(t.as_py()), bias, linear, factors) for t in b.column(len(keep))])
             yield pa.record_batch([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], [*keep, "score"])
 
@@ -122,7 +118,8 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: li
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row; repeated rows stay. Without labels of both kinds all scores are the prior."""
+    """(doc_id, held_out, score, predicted) of each row; repeated rows stay, null ids too. Null texts count as empty, texts of any length are
+    scored whole, an empty table gives no rows. Without labels of both kinds all scores are the prior."""
     rows = score(docs, train(docs, labels, mod, held), ["doc_id"])
     return rows.select("doc_id", F.expr(f"{crc_mod('doc_id', mod)} = {held}").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
