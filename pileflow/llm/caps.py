@@ -2,53 +2,69 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pileflow.llm.common import Workspace, partitions
-from pileflow.llm.components import Forest, components
+from pileflow.llm.common import Batches, Workspace, partitions, runs
+from pileflow.llm.components import components
 
 #: Parts of a vector, code words of each part, and the filters that every vector gets at least.
 PARTS, WORDS, LEAST = 4, 32, 24
 #: In standard deviations of a filter's inner product: all filters above it take the vector.
 CAP = 3.9
-#: Rows of a bucket that one task compares; larger buckets are compared piece by piece.
-BUCKET_ROWS = 4096
-BLOCK = 1024
-
-
-def codes(dim: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A random rotation and the code words of each part, the same on every machine."""
+#: Rows of a cell that one task compares; larger cells are compared piece by piece.
+CELL_ROWS = 16384
+#: Vectors a cell, if they fell evenly: cells are named by so many parts of a filter that no more remain.
+EVEN = 256
+BLOCK, SMALL = 1024, 32
+#: Vectors and code words are rounded to integers of this unit, so inner products are exact and the same in every task.
+UNIT = 1 << 20
+_NEVER = -float(1 << 50)
+
+
+def codes(dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(rotated code words, one column each, parts in turn; what is added to a word's product: words that repeat another are never taken)."""
     rng = np.random.default_rng((seed, dim))
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    books = []
-    for part in np.array_split(np.arange(dim), PARTS):
+    words, extra = [], np.zeros(PARTS * WORDS)
+    for k, part in enumerate(np.array_split(np.arange(dim), PARTS)):
         w = rng.standard_normal((WORDS, max(1, len(part))))
-        books.append(w / np.linalg.norm(w, axis=1, keepdims=True))
-    return turn, books
+        w = (turn[:, part] @ (w / np.linalg.norm(w, axis=1, keepdims=True))[:, : len(part)].T) if len(part) else np.zeros((dim, WORDS))
+        w = np.rint(w * UNIT)
+        again = np.setdiff1d(np.arange(WORDS), np.unique(w, axis=1, return_index=True)[1])
+        extra[k * WORDS + again] = _NEVER
+        words.append(w)
+    return np.concatenate(words, 1), extra
 
 
-def decode(x: np.ndarray, turn: np.ndarray, books: list[np.ndarray], cap: float = CAP, least: int = LEAST) -> list[np.ndarray]:
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, each by itself."""
+    x = np.ascontiguousarray(x, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def decode(x: np.ndarray, words: np.ndarray, extra: np.ndarray, cap: float = CAP, least: int = LEAST) -> list[np.ndarray]:
     """For each unit vector the numbers of all filters whose cap holds it, and of its ``least`` best ones.
 
-    A filter is one word from each book; its inner product is the sum over parts. Halves are combined first, then only
+    A filter is one word from each part; its inner product is the sum over parts. Halves are combined first, then only
     sums that can still reach the cap are looked at.
     """
-    parts = np.array_split(np.arange(x.shape[1]), PARTS)
-    turned = x @ turn
-    s = [turned[:, p] @ b[:, : len(p)].T if len(p) else np.zeros((len(x), WORDS)) for p, b in zip(parts, books, strict=True)]
-    left = (s[0][:, :, None] + s[1][:, None, :]).reshape(len(x), -1)
-    right = (s[2][:, :, None] + s[3][:, None, :]).reshape(len(x), -1)
+    s = (np.rint(x * UNIT) @ words + extra).reshape(len(x), PARTS, WORDS)
+    left = (s[:, 0, :, None] + s[:, 1, None, :]).reshape(len(x), -1)
+    right = (s[:, 2, :, None] + s[:, 3, None, :]).reshape(len(x), -1)
     # a code word's product with a part of a random unit vector has variance 1 / dim, so the sum of all parts PARTS / dim
-    bar = cap * np.sqrt(PARTS / x.shape[1])
+    bar = cap * np.sqrt(PARTS / x.shape[1]) * UNIT * UNIT
     out = []
     for a, b in zip(left, right, strict=True):
         ia, ib = np.argpartition(-a, least)[:least], np.argpartition(-b, least)[:least]
         best = np.partition((a[ia][:, None] + b[ib][None, :]).ravel(), -least)[-least]
-        t = min(bar, best)
+        t = max(min(bar, best), _NEVER / 4)
         ia, ib = np.flatnonzero(a >= t - b.max()), np.flatnonzero(b >= t - a.max())
         i, j = np.nonzero(a[ia][:, None] + b[ib][None, :] >= t)
         out.append(np.sort(ia[i].astype(np.int64) * (WORDS * WORDS) + ib[j]))
@@ -74,66 +90,97 @@ def _owned(lists: list[np.ndarray], bucket: int, a: slice, b: slice) -> np.ndarr
     return marks(a) @ marks(b).T < 0.5
 
 
-def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all values, where each list begins and ends)."""
-    c = column.combine_chunks()
-    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-    offsets = c.offsets.to_numpy().astype(np.int64)
-    return c.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _buckets(t: pa.Table, cosine: float):
-    """Whole buckets, in order: (rep, links, root) of members with links."""
-    keys = np.stack([t.column(i).to_numpy() for i in range(3)])
-    mine, reps, copies = (t.column(i).to_numpy() for i in (3, 4, 5))
-    values, at = _rows(t.column("v"))
-    values = values.astype(np.float64)
-    sizes = np.diff(at)
-    values /= np.repeat(np.maximum.reduceat(np.abs(values), at[:-1]), sizes)
-    values /= np.repeat(np.sqrt(np.add.reduceat(values * values, at[:-1])), sizes)
-    numbers, where = _rows(t.column("filters"))
-    edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-    out = []
-    for u, z in zip([0, *edges], [*edges, t.num_rows], strict=True):
-        if z - u > 1:
-            x = values[at[u] : at[z]].reshape(z - u, -1)
-            out.append(_bucket(keys[:, u], x, [numbers[where[i] : where[i + 1]] for i in range(u, z)], copies[u:z], mine[u:z], reps[u:z], cosine))
-    if out:
-        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["rep", "links", "root"])
-
-
-def _bucket(key: np.ndarray, x: np.ndarray, lists: list[np.ndarray], copies: np.ndarray, mine: np.ndarray, reps: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(x)
-    links, forest = np.zeros(n, np.int64), Forest(n)
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
-            sa, sb = slice(a, min(n, a + BLOCK)), slice(b, min(n, b + BLOCK))
-            hit = x[sa] @ x[sb].T >= cosine
-            if a == b:
-                hit &= np.triu(np.ones(hit.shape, bool), 1)
-            if key[1] != key[2]:
-                hit &= mine[sa][:, None] != mine[sb][None, :]
-            if not hit.any():
-                continue
-            hit &= _owned(lists, key[0], sa, sb)
-            links[sa] += hit @ copies[sb]
-            links[sb] += copies[sa] @ hit
-            for i in np.flatnonzero(hit.any(1)):
-                for j in np.flatnonzero(hit[i]):
-                    forest.join(a + int(i), b + int(j))
-    at = np.flatnonzero(links > 0)
-    return reps[at], links[at], reps[[forest.find(int(i)) for i in at]] if len(at) else reps[:0]
-
-
-def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, cap: float = CAP, least: int = LEAST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+class Cell:
+    """Vectors of one cell, or of two groups of a crowded one: compared by filter, with links counted and joined.
+
+    Filters of a vector with a link are decoded anew, which is cheaper than sending all of them with every copy of it.
+    """
+
+    def __init__(self, t: pa.Table, cosine: float, cap: float, least: int) -> None:
+        self.cosine, self.options = cosine, (cap, least)
+        cell, one, two = (t.column(i)[0].as_py() for i in range(3))
+        self.dim, self.across = cell >> 32, one != two
+        self.mine, self.reps, self.copies = (t.column(i).to_numpy() for i in (3, 4, 5))
+        values = t.column("v").combine_chunks()
+        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+        self.x = units(values.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim))
+        held = [np.frombuffer(f, np.int32) for f in t.column("filters").to_pylist()]
+        number, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+        order = np.argsort(number, kind="stable")
+        self.number, self.row = number[order], row[order]
+        self.links, self.label = np.zeros(len(held), np.int64), np.arange(len(held))
+        self.lists: dict[int, np.ndarray] = {}
+
+    def decoded(self, rows: np.ndarray) -> list[np.ndarray]:
+        new = [i for i in rows.tolist() if i not in self.lists]
+        if new:
+            self.lists |= dict(zip(new, decode(self.x[new], *codebook(self.dim), *self.options), strict=True))
+        return [self.lists[i] for i in rows.tolist()]
+
+    def buckets(self) -> list[tuple[int, np.ndarray]]:
+        """(filter, rows) where links may be: small buckets are looked through many at a time first."""
+        edges = np.flatnonzero(np.diff(self.number)) + 1
+        start = np.concatenate([[0], edges])
+        size = np.diff(np.append(start, len(self.number)))
+        out = [(int(self.number[u]), self.row[u : u + n]) for u, n in zip(start[size > SMALL], size[size > SMALL], strict=True)]
+        for n in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+            begin, step = start[size == n], max(1, (1 << 20) // (n * self.dim))
+            for a in range(0, len(begin), step):
+                rows = self.row[begin[a : a + step, None] + np.arange(n)]
+                x = self.x[rows]
+                # a little below the bar, as sums of another shape may round otherwise
+                near = np.triu(x @ x.transpose(0, 2, 1) >= self.cosine - 1e-9, 1).any((1, 2))
+                out += [(int(self.number[begin[a + k]]), rows[k]) for k in np.flatnonzero(near)]
+        return out
+
+    def join(self, rows: np.ndarray) -> None:
+        found = np.unique(self.label[rows])
+        if len(found) > 1:
+            self.label[np.isin(self.label, found)] = found[0]
+
+    def compare(self, bucket: int, rows: np.ndarray) -> None:
+        n = len(rows)
+        for a in range(0, n, BLOCK):
+            for b in range(a, n, BLOCK):
+                ra, rb = rows[a : a + BLOCK], rows[b : b + BLOCK]
+                hit = self.x[ra] @ self.x[rb].T >= self.cosine
+                if a == b:
+                    hit = np.triu(hit, 1)
+                if self.across:
+                    hit &= self.mine[ra][:, None] != self.mine[rb][None, :]
+                ia, ib = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                if not len(ia):
+                    continue
+                ra, rb, hit = ra[ia], rb[ib], hit[np.ix_(ia, ib)]
+                hit &= _owned(self.decoded(np.append(ra, rb)), bucket, slice(0, len(ra)), slice(len(ra), len(ra) + len(rb)))
+                self.links[ra] += hit @ self.copies[rb]
+                self.links[rb] += self.copies[ra] @ hit
+                for i in np.flatnonzero(hit.any(1)):
+                    self.join(np.append(rb[hit[i]], ra[i]))
+
+    def result(self) -> pa.RecordBatch:
+        """(rep, links, root) of members with links."""
+        for bucket, rows in self.buckets():
+            self.compare(bucket, rows)
+        at = np.flatnonzero(self.links > 0)
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (self.reps[at], self.links[at], self.reps[self.label[at]])], ["rep", "links", "root"])
+
+
+@cache
+def codebook(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return codes(dim)
+
+
+def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, cap: float = CAP, least: int = LEAST, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vec_id.
 
     Links are pairs that share a filter and have the cosine in double precision, never others. Null, empty and zero vectors and those with
     null or non-finite components are alone, as are null ids; vectors of other lengths don't compare; rows of one
     vec_id count once (the smallest vector). Equal vectors stand behind one of them and are counted by their number.
 
-    A bucket's task hands on counts and a spanning forest, not pairs, so that a bucket of thousands of near copies gives
-    as many rows as it has members. Buckets above ``bucket_rows`` are split into groups that meet pairwise.
+    A vector is sent once to each cell of filters that share their first words, with its filters there: the more vectors, the
+    more words name a cell. A cell's task hands on counts and a spanning forest, not pairs, so that a group of thousands of near copies
+    gives as many rows as it has members. Cells above ``cell_rows`` are split into groups that meet pairwise.
     """
     space = Workspace(spark, "caps")
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
@@ -142,47 +189,45 @@ def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, cap:
     once = space.write(once.withColumn("good", F.coalesce(good, F.lit(False))), "once")
     same = space.write(once.where("good").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "same")
 
-    def filters(frames):
-        ready = {}
-        for f in frames:
-            lists = [None] * len(f)
-            rows = [np.asarray(v, np.float64) for v in f.v]
-            for dim in {len(v) for v in rows}:
-                at = [i for i, v in enumerate(rows) if len(v) == dim]
-                x = np.array([rows[i] for i in at])
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                if dim not in ready:
-                    ready[dim] = codes(dim)
-                for i, found in zip(at, decode(x, *ready[dim], cap, least), strict=True):
-                    lists[i] = found + (dim << 32)
-            yield pd.DataFrame({"rep": f.rep, "copies": f.copies, "v": f.v, "filters": lists})
-
-    decoded = space.write(same.repartition(partitions(spark)).mapInPandas(filters, f"rep long, copies long, v array<{kind}>, filters array<long>"), "decoded")
-    posted = decoded.withColumn("filter", F.explode("filters"))
-    # only filters that took very many rows are in this table
-    crowd = posted.groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("filter", F.ceil(F.col("n") / bucket_rows).cast("int").alias("groups"))
-    met = posted.join(crowd, "filter", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    n = same.count()
+    depth = next((d for d in range(1, PARTS) if n <= EVEN * WORDS**d), PARTS)
+    below = WORDS ** (PARTS - depth)
+
+    def filters(batches: Batches) -> Batches:
+        for b in batches:
+            v = b.column(2)
+            size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+            posts: list = [None] * len(v)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                x = units(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                for i, found in zip(at, decode(x, *codebook(dim), cap, least), strict=True):
+                    cells, first = np.unique(found // below, return_index=True)
+                    posts[i] = [{"cell": (dim << 32) + int(c), "filters": f.astype(np.int32).tobytes()} for c, f in zip(cells, np.split(found, first[1:]), strict=True)]
+            kind = pa.list_(pa.struct([("cell", pa.int64()), ("filters", pa.binary())]))
+            yield pa.record_batch([*b.columns, pa.array(posts, kind)], ["rep", "copies", "v", "posts"])
+
+    posts = "posts array<struct<cell: long, filters: binary>>"
+    decoded = space.write(same.select("rep", "copies", "v").repartition(partitions(spark)).mapInArrow(filters, f"rep long, copies long, v array<{kind}>, {posts}"), "decoded")
+    # cells that took very many rows: only ids of their members meet the counts, before vectors are sent anywhere
+    members = decoded.select("rep", F.explode("posts.cell").alias("cell"))
+    crowd = members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("groups"))
+    split = space.write(members.join(crowd, "cell").groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("cell", "groups"))).alias("split")), "split")
+    known = decoded.withColumn("split", F.lit(None)) if split.isEmpty() else decoded.join(split, "rep", "left")
+    met = known.select("rep", "copies", "v", "split", F.explode("posts").alias("post")).select("rep", "copies", "v", "split", "post.*")
+    met = met.withColumn("groups", F.lit(1) if split.isEmpty() else F.coalesce(F.expr("try_element_at(split, cell)"), F.lit(1)))
     met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    met = met.select("filter", F.least("mine", "other").alias("g1"), F.greatest("mine", "other").alias("g2"), "mine", "rep", "copies", "v", "filters")
-    met = met.repartition(partitions(spark), "filter", "g1", "g2").sortWithinPartitions("filter", "g1", "g2", "rep")
+    met = met.select("cell", F.least("mine", "other").alias("g1"), F.greatest("mine", "other").alias("g2"), "mine", "rep", "copies", "v", "filters")
+    met = met.repartition(partitions(spark), "cell", "g1", "g2").sortWithinPartitions("cell", "g1", "g2", "rep")
 
-    def compare(batches):
-        kept = None
-        for b in batches:
-            t = pa.Table.from_batches([b] if kept is None else [*kept.to_batches(), b])
-            keys = np.stack([t.column(i).to_numpy() for i in range(3)])
-            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            if len(new):
-                yield from _buckets(t.slice(0, new[-1]), cosine)
-                t = t.slice(new[-1])
-            kept = t
-        if kept is not None:
-            yield from _buckets(kept, cosine)
+    def compare(batches: Batches) -> Batches:
+        for t in runs(batches, 3):
+            if t.num_rows > 1:
+                yield Cell(t, cosine, cap, least).result()
 
     found = space.write(met.mapInArrow(compare, "rep long, links long, root long"), "found")
-    space.drop("decoded")
+    space.drop("decoded", "split")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(space, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = same.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")

@@ -359,7 +359,7 @@ def test_answers_derived_from_a_similar_set(monkeypatch):
     assert len(asked) < len(pairs) // 2
 
 
-def test_caps(spark):
+def test_caps(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(60, 64))
     v = [(i, (centres[i % 60] + rng.normal(size=64) * rng.choice([0.0, 0.15, 0.3, 0.8])).astype(np.float32).tolist()) for i in range(600)]
@@ -367,11 +367,16 @@ def test_caps(spark):
     odd = spark.createDataFrame([(800, None), (801, []), (802, [0.0] * 64), (803, [float("nan")] * 64), (804, [None] * 64)], good.schema)
     links = brute.cosine_links(v)
     degree = Counter(i for p in links for i in p)
-    for most in (4096, 16):
-        got = {r.vec_id: r for r in caps.cap_links(spark, good.unionByName(odd), bucket_rows=most).collect()}
+    seen = set()
+    # cells named by one, two and four words, whole and split: the same pairs meet
+    for even, most in ((256, 4096), (1, 16), (0, 4096), (0, 16)):
+        monkeypatch.setattr(caps, "EVEN", even)
+        got = {r.vec_id: r for r in caps.cap_links(spark, good.unionByName(odd), cell_rows=most).collect()}
         assert len(got) == 605 and all(got[i].n_links == 0 and got[i].kept for i in range(800, 805))
         assert all(got[i].n_links <= degree[i] for i, _ in v)
         assert sum(r.n_links for r in got.values()) >= 0.95 * 2 * len(links)
+        seen.add(tuple(sorted((i, r.n_links, r.component_id) for i, r in got.items())))
+    assert len(seen) == 1
     assert caps.cap_links(spark, good.limit(0)).count() == 0
 
 
@@ -387,6 +392,31 @@ def test_caps_share_filters_near_the_threshold():
         assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, other, strict=True)]) >= 0.9, c
 
 
+def test_caps_of_few_components_and_scaled_copies(spark):
+    rng = np.random.default_rng(8)
+    v = [(i, rng.normal(size=1 + i % 5).tolist()) for i in range(150)]
+    v += [(200 + i, [2.0**i * x for x in v[4][1]]) for i in range(40)]
+    got = {r.vec_id: r for r in caps.cap_links(spark, spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect()}
+    links = [p for dim in range(1, 6) for p in brute.cosine_links([r for r in v if len(r[1]) == dim])]
+    degree = Counter(i for p in links for i in p)
+    assert all(got[i].n_links <= degree[i] for i, _ in v)
+    assert sum(r.n_links for r in got.values()) >= 0.95 * 2 * len(links)
+    assert all(got[200 + i].component_id == got[4].component_id for i in range(40))
+
+
+def test_caps_link_pairs_near_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(2, 1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = np.repeat([0.901, 0.91, 0.92], 400)[:, None]
+    rows = [(i, r.tolist()) for i, r in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * y]))]
+    got = {r.vec_id: r for r in caps.cap_links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for a in (0, 400, 800):
+        assert np.mean([got[i + 1200].component_id == i for i in range(a, a + 400)]) >= 0.9
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
