@@ -9,7 +9,9 @@ from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pileflow.llm import caps, jaccard, langid, maxent, mixing, packing, quality, secrets, token_counts, tokens, topk
 from pileflow.llm.common import words
@@ -139,6 +141,45 @@ def test_language_model_learns_from_every_document(spark):
         assert np.abs((m.by_word - start.by_word).reshape(maxent.WORD_ROWS, -1)[last[2]]).max() > 0, text
 
 
+def test_language_model_beats_its_base_on_held_out_texts_and_reruns_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(1.5).alias("score"), F.lit("x").alias("batch"))
+    first, second = ({r.doc_id: r for r in maxent.lm_scores(spark, docs).collect()} for _ in range(2))
+    assert first == second
+    held = [r for r in first.values() if r.held_out]
+    size = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / size > sum(r.base_score for r in held) / size + 0.02
+
+
+def test_language_model_sums_to_one_and_cuts_no_context(spark, monkeypatch):
+    text = " ".join(f"w{i * i % 37}" for i in range(500))
+    train = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string")
+    c, start = maxent.frequent(maxent.count_words(maxent.Workspace(spark, "test"), train, 4))
+    m = maxent.train_rounds(train, c, start)
+    whole = next(maxent._prepared(iter([text]), c))
+    rows, last, every = whole[3], whole[4], np.arange(maxent.VOCABULARY)
+    for i in (0, 1, 250):
+        p, _, q = maxent.probabilities(m, np.repeat(rows[i : i + 1], len(every), 0), np.repeat(last[i : i + 1], len(every)), every)
+        assert math.isclose((p[every, every // maxent.PER] * q[every, every % maxent.PER]).sum() + p[0, -1], 1, rel_tol=1e-4)
+    seen = c.counts[(c.counts > 0) & (c.vocabulary < 0)]
+    assert math.isclose(((seen + 1).sum() + 1) / (c.rest_total + c.rest_distinct + 1), 1)
+    monkeypatch.setattr(maxent, "PIECE", 7)
+    pieces = list(maxent._prepared(iter([text]), c))
+    for k in range(1, 6):
+        assert (np.concatenate([x[k] for x in pieces]) == whole[k]).all()
+
+
+def test_changes_are_summed_over_teams_in_the_order_of_tasks():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(50, 20, replace=False)) for _ in range(9)]
+    change, seen = rng.normal(size=(9, 20, maxent.PER)).astype(np.float16), rng.integers(1, 9, (9, 20)).astype(float)
+    f = pd.DataFrame({"part": 1, "first": 4096, "task": range(9), "rows": [(r + 4096).astype(np.int32).tobytes() for r in rows], "seen": [s.tobytes() for s in seen], "change": [x.tobytes() for x in change]})
+    _, first, hit, down, up = maxent._total(f.sample(frac=1, random_state=1), np.float16)
+    for k, row in enumerate(hit):
+        plain = [(change[i][r == row][0].astype(float), seen[i][r == row][0]) for i, r in enumerate(rows) if row in r]
+        assert first == 4096 and down[k] == sum(w for _, w in plain)
+        assert np.allclose(up[k], sum(x * w for x, w in plain))
+
+
 def test_mixing(spark, docs, empty, plain):
     got = mixing.mix(spark, docs, block=8)[0].collect()
     size = {None: 0} | {}
