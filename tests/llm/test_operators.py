@@ -469,3 +469,56 @@ def test_pipeline(spark):
         assert at.columns == docs.columns
         assert at.count() > 0
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, docs, empty, plain):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    columns, everything = docs.columns, Counter(map(str, plain))
+
+    def applied(name, table):
+        got = stages[name](spark, table, sf)
+        assert got.columns == columns and got.schema == docs.schema
+        return got.collect()
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+
+    kept = applied("quality classifier", docs)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scored = quality.classify(spark, docs, labels).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in scored if r.predicted == 1)
+    assert not Counter(map(str, kept)) - everything
+
+    kept = applied("n-gram Jaccard join", docs)
+    # rows of one id and one text are one document; then the smallest id of each group of texts with words stays
+    own = {(r.doc_id, r.text) for r in plain}
+    sets = {1000 + k if i is None else i: brute.shingles(t) for k, (i, t) in enumerate(sorted(own, key=str))}
+    group = brute.grouped(sets, brute.jaccard_links(sets))
+    assert sorted(1000 if r.doc_id is None else r.doc_id for r in kept) == sorted(min(i, 1000) for i, s in sets.items() if not s or group[i] == i)
+    assert not Counter(map(str, kept)) - everything
+
+    clean = applied("secret scans", docs)
+    was, now = {r.doc_id: r for r in plain}, {r.doc_id: r for r in clean}
+    assert len(clean) == len(plain)
+    for i, r in now.items():
+        assert r == was[i] if i != 13 else ("[secret]" in r.text and "hunter22x" not in r.text and "AKIA" not in r.text and r.n_chars == len(r.text))
+
+    mixed = applied("mixing sources to target weights", docs)
+    size, seen = Counter(), Counter()
+    for r in plain:
+        size[r.doc_id] += len((r.text or "").encode().split())
+    allowed = {i: Counter() for i in size}
+    for r in plain:
+        allowed[r.doc_id].update((r.text or "").encode().split())
+    for r in mixed:
+        found = Counter(r.text.encode().split())
+        assert found and not found - allowed[r.doc_id] and r.n_chars == len(r.text) and r.source == was[r.doc_id].source
+        seen[r.doc_id] += sum(found.values())
+    assert all(seen[i] <= 3 * n for i, n in size.items())
+    assert abs(sum(seen.values()) - sum(r.taken for r in mixing.mix(spark, docs)[0].collect())) == 0
+
+    faults, _, _ = brute.packing_faults(plain, applied_pack := stages["best-fit packing"](spark, docs, sf).collect())
+    assert not faults and applied_pack
