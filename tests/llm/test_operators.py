@@ -168,6 +168,32 @@ def test_language_model_sums_to_one_and_cuts_no_context(spark, monkeypatch):
         assert (np.concatenate([x[k] for x in pieces]) == whole[k]).all()
 
 
+def test_language_model_tells_words_beyond_its_vocabulary_apart_by_context(spark):
+    common, pairs = [f"c{i}" for i in range(maxent.VOCABULARY)], [f"a{i} x{i} " for i in range(40)]
+    texts = [" ".join(common)] * 12 + [p * 10 for p in pairs]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c, start = maxent.frequent(maxent.count_words(maxent.Workspace(spark, "test"), train, 4))
+    _, hashes, _, _, last, word = next(maxent._prepared(iter(["".join(pairs)]), c))
+    assert (word[:80] < 0).all() and (-1 - word[:80] == maxent.bins(hashes[:80])).all()
+    _, h, _, _, _, model = next(maxent._prepared(iter([" ".join(common)]), c))
+    n = np.concatenate([np.full(80, 11), np.where(model[:-1] < 0, 13, 0)])
+    assert (c.rest_bins == np.bincount(maxent.bins(np.concatenate([hashes[:80], h[:-1]])), n, maxent.BINS)).all()
+    last, bin_ = last[1:80:2], -1 - word[1:80:2]
+    every = np.arange(maxent.BINS)
+
+    def own_and_others(m):
+        """Mean logarithm of what a word's digits get behind the word before it, and behind the words before the others."""
+        p = np.array([maxent.bin_probabilities(m, np.full(len(every), k), every)[1][np.arange(2 * len(every)), np.concatenate([every // maxent.PER, every % maxent.PER])].reshape(2, -1).prod(0) for k in last])
+        assert np.allclose(p.sum(1), 1, atol=1e-4)
+        p = np.log(p[:, bin_])
+        return p.diagonal().mean(), p[~np.eye(len(p), dtype=bool)].mean()
+
+    own, others = own_and_others(start)
+    assert math.isclose(own, others, rel_tol=0.01)
+    own, others = own_and_others(maxent.train_rounds(train, c, start))
+    assert own > others + 0.5
+
+
 def test_changes_are_summed_over_teams_in_the_order_of_tasks():
     rng = np.random.default_rng(4)
     rows = [np.sort(rng.choice(50, 20, replace=False)) for _ in range(9)]
