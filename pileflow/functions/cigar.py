@@ -49,6 +49,16 @@ def parsed(cigars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 LETTERS = np.frombuffer(b"MIDNSHP=XB", np.uint8)
 
 
+def located(pos: pa.Array, cigars: pa.Array, refskip: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, letter, length, 0-based start) of all operations; a missing position counts as 0."""
+    moving = np.frombuffer(b"M=XDN" if refskip == "advance" else b"M=XD", np.uint8)
+    row, letter, size = parsed(cigars)
+    moved = np.where(np.isin(letter, moving), size, 0)
+    before = np.cumsum(moved) - moved
+    first = np.searchsorted(row, row)
+    return row, letter, size, before - before[first] + pos.fill_null(0).to_numpy(zero_copy_only=False)[row]
+
+
 def blocks(reads: DataFrame, refskip: str = "stay", keep: list[str] | None = None) -> DataFrame:
     """One row per M, =, X or D operation: adds ``op``, ``s`` and ``e`` (1-based, inclusive). An ``N`` moves the position only with refskip="advance".
     ``keep``: the columns of the reads that blocks need; all by default.
@@ -56,7 +66,6 @@ def blocks(reads: DataFrame, refskip: str = "stay", keep: list[str] | None = Non
     Offsets are running sums over the operations of an Arrow batch, linear in their number: inside an expression, an array
     built up operation by operation would be copied at each of them, which long reads with tens of thousands can't bear.
     """
-    moving = np.frombuffer(b"M=XDN" if refskip == "advance" else b"M=XD", np.uint8)
     shown = np.frombuffer(b"M=XD", np.uint8)
     names = reads.columns if keep is None else keep
     given = reads.select(*names, F.col("pos").alias("_pos"), F.col("cigar").alias("_cigar"))
@@ -64,13 +73,9 @@ def blocks(reads: DataFrame, refskip: str = "stay", keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, letter, size = parsed(b.column(len(names) + 1))
-            moved = np.where(np.isin(letter, moving), size, 0)
-            before = np.cumsum(moved) - moved
-            first = np.searchsorted(row, row)
+            row, letter, size, start = located(b.column(len(names)), b.column(len(names) + 1), refskip)
             show = np.isin(letter, shown)
-            row, start = row[show], (before - before[first])[show] + 1
-            start += b.column(len(names)).fill_null(0).to_numpy(zero_copy_only=False)[row]
+            row, start = row[show], start[show] + 1
             take = pa.array(row)
             yield pa.record_batch([*[c.take(take) for c in b.columns[: len(names)]], _letters(letter[show]), pa.array(start.astype(np.int32)), pa.array((start + size[show] - 1).astype(np.int32))], [*names, "op", "s", "e"])
 

@@ -1,16 +1,18 @@
 """Depth at target positions by a boundary-event sweep, one (chromosome, bin) at a time.
 
 Blocks and regions are cut at bin borders, so every bin's running sums start at zero and need nothing
-from their neighbours: one shuffle on (chrom, bin), no range join, and a long chromosome is many tasks.
+from their neighbours: one shuffle on (chrom, bin) of packed blocks, no range join, and a long chromosome is many tasks.
+Tasks grow in number with the reads, and packed.py's arrays of a few bins are all that one keeps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pileflow.functions.cigar import blocks, span
 from pileflow.functions.flags import is_clean, is_primary, placed
+from pileflow.operators import packed
 from pileflow.operators.intervals import BIN, binned
 
 
@@ -26,38 +28,52 @@ def read_blocks(reads: DataFrame, mapq: int = 20, refskip: str = "stay") -> Data
     return blocks(rows, refskip, ["chrom", "clean"]).select("chrom", "s", "e", aligned.alias("raw"), (aligned * F.col("clean")).alias("rmdup"), F.lit(1).alias("cover"))
 
 
+#: Bytes of input, as the sources tell their size, for each task that sweeps; beyond MANY tasks each takes more.
+SHARE, MANY = 8 << 20, 20_000
+
+
+def tasks(*inputs: DataFrame) -> int:
+    """Tasks for a shuffle: as many as cores, or more by size; at least those of the session where a source doesn't tell its size."""
+    leaves = [p.apply(i) for p in (df._jdf.queryExecution().optimizedPlan().collectLeaves() for df in inputs) for i in range(p.size())]
+    sizes = [int(str(x.stats().sizeInBytes())) for x in leaves]
+    known = sum(x for x in sizes if x < 1 << 50)
+    spark = inputs[0].sparkSession
+    least = spark.sparkContext.defaultParallelism if known == sum(sizes) else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MANY, -(-known // SHARE)))
+
+
+def _dealt(reads: DataFrame, regions: DataFrame, flank: DataFrame | None, mapq: int, refskip: str, bins: int, hulls: bool) -> DataFrame:
+    """Packed blocks and the parts of both sets, sorted by (chrom, bin) with parts first, each bin in one task."""
+    place = lambda x, kind: binned(x, bins).select("chrom", "bin", F.lit(None).cast("binary").alias("data"), F.struct("s", "e", "start", "stop", F.lit(kind).alias("kind"), F.lit(1).alias("n")).cast("struct<s:int,e:int,start:int,stop:int,kind:int,n:int>").alias("place"))
+    given = usable(reads).select(F.col("rname").alias("chrom"), is_clean(mapq).cast("int").alias("clean"), "pos", "cigar")
+    rows = given.mapInArrow(packed.pack(refskip, bins, hulls), packed.SCHEMA).unionByName(place(regions, packed.INSIDE))
+    if flank is not None:
+        rows = rows.unionByName(place(flank, packed.BESIDE))
+    return rows.repartition(tasks(reads, regions), "chrom", "bin").sortWithinPartitions("chrom", "bin", F.isnotnull("data"))
+
+
 def sweep(reads: DataFrame, regions: DataFrame, flank: DataFrame | None = None, mapq: int = 20, refskip: str = "stay", bins: int = BIN) -> DataFrame:
     """Runs of equal depth inside merged regions or a second merged set: (chrom, start, stop, s, e, inside, beside, raw, rmdup, cover).
 
     s, e are 1-based inclusive; ``inside`` and ``beside`` tell whether the run lies in the regions and in ``flank``; start, stop are
-    of the region. Covers every position of either set once, with zeros where no read lies. Runs end at bin borders.
+    of the region, if inside. Covers every position of either set once, with zeros where no read lies. Runs end at bin borders.
     """
-    parts = binned(regions, bins).withColumns({"inside": F.lit(1), "beside": F.lit(0), "r": F.struct("start", "stop")})
-    if flank is not None:
-        parts = parts.unionByName(binned(flank, bins).withColumns({"inside": F.lit(0), "beside": F.lit(1), "r": F.lit(None).cast("struct<start:int,stop:int>")}))
-    touched = parts.select("chrom", "bin").distinct()
-    cut = (
-        read_blocks(reads, mapq, refskip)
-        .withColumn("bin", F.explode(F.sequence(F.floor((F.col("s") - 1) / bins).cast("int"), F.floor((F.col("e") - 1) / bins).cast("int"))))
-        .join(touched, ["chrom", "bin"], "left_semi")
-        .withColumns({"s": F.greatest(F.col("s"), F.col("bin") * bins + 1), "e": F.least(F.col("e"), (F.col("bin") + 1) * bins)})
-    )
-    deltas = cut.selectExpr("chrom", "bin", "inline(array(struct(s as p, raw as d_raw, rmdup as d_rmdup, cover as d_cover), struct(e + 1 as p, -raw as d_raw, -rmdup as d_rmdup, -cover as d_cover)))")
-    deltas = deltas.groupBy("chrom", "bin", "p").agg(*[F.sum(c).alias(c) for c in ("d_raw", "d_rmdup", "d_cover")])
-    none = "0L as d_raw, 0L as d_rmdup, 0L as d_cover"
-    edges = parts.selectExpr("chrom", "bin", f"inline(array(struct(s as p, {none}, inside, beside, r), struct(e + 1 as p, {none}, -inside as inside, -beside as beside, cast(null as struct<start:int, stop:int>) as r)))")
-    events = deltas.selectExpr("chrom", "bin", "p", "d_raw", "d_rmdup", "d_cover", "0 as inside", "0 as beside", "cast(null as struct<start:int, stop:int>) as r").unionByName(edges)
-    events = events.groupBy("chrom", "bin", "p").agg(*[F.sum(c).alias(c) for c in ("d_raw", "d_rmdup", "d_cover", "inside", "beside")], F.max("r").alias("r"))
-    w = Window.partitionBy("chrom", "bin").orderBy("p")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        events.select(
-            "chrom", F.col("p").alias("s"), (F.lead("p").over(w) - 1).alias("e"), (F.sum("inside").over(run) > 0).alias("inside"), (F.sum("beside").over(run) > 0).alias("beside"),
-            F.last("r", True).over(run).alias("r"), *[F.sum(f"d_{c}").over(run).alias(c) for c in ("raw", "rmdup", "cover")],
-        )
-        .where("(inside or beside) and e >= s")
-        .select("chrom", "r.start", "r.stop", "s", "e", "inside", "beside", "raw", "rmdup", "cover")
-    )
+    bins = min(bins, packed.WIDEST)
+    return _dealt(reads, regions, flank, mapq, refskip, bins, False).mapInArrow(packed.as_runs(bins), packed.RUNS)
+
+
+def facts(reads: DataFrame, regions: DataFrame, flank: DataFrame, mapq: int = 20, refskip: str = "stay", bins: int = BIN) -> DataFrame:
+    """(kind, value, cnt) of both merged sets in one sweep: positions by depth (``tgt`` cover, ``rmdup``, ``flk`` raw), regions by whole mean
+    raw depth (``reg``), and the number of usable reads whose hull meets a set (``n_tgt``, ``n_flk``; value null)."""
+    bins = min(bins, packed.WIDEST)
+    found = _dealt(reads, regions, flank, mapq, refskip, bins, True).mapInArrow(packed.as_facts(bins), packed.FACTS)
+    # parts of a region add up by region, all else by value; reads over several bins count once however many of these they meet a set in
+    part = F.col("kind") == "part"
+    summed = found.groupBy("kind", F.when(~part, F.col("value")).alias("v"), "chrom", "start", "stop").agg(F.sum("value").alias("total"), F.sum("cnt").alias("n"), F.max("cnt").alias("most"))
+    hit = F.col("kind").startswith("hit_")
+    kind = F.when(part, "reg").when(hit, F.concat(F.lit("n_"), F.substring("kind", 5, 3))).otherwise(F.col("kind"))
+    value = F.when(part, F.floor(F.col("total") / F.col("n"))).when(~kind.startswith("n_"), F.col("v"))
+    return summed.select(kind.alias("kind"), value.alias("value"), F.when(part, F.lit(1)).when(hit, F.col("most")).otherwise(F.col("n")).alias("n")).groupBy("kind", "value").agg(F.sum("n").alias("cnt"))
 
 
 def segments(reads: DataFrame, regions: DataFrame, mapq: int = 20, refskip: str = "stay", bins: int = BIN) -> DataFrame:

@@ -64,22 +64,17 @@ class Coverage:
     def metrics(self) -> DataFrame:
         """One row with every figure of the report.
 
-        One sweep gives all depths: its runs are counted by kind and value once, and all shares, means and lengths come from those few rows.
+        One sweep counts places, regions and reads by kind and value, and all shares, means and lengths come from those few rows.
         """
         o = self.options
         median = "cast(percentile(value, 0.5D, cnt) as bigint)"
-        kinds = "inline(array(struct('tgt' as kind, if(inside, cover, null) as value), struct('rmdup' as kind, if(inside, rmdup, null) as value), struct('flk' as kind, if(beside, raw, null) as value)))"
-        hist = self.runs.selectExpr(kinds, "cast(e - s + 1 as bigint) as n").where("value is not null").groupBy("kind", "value").agg(F.sum("n").alias("cnt"))
-        regional = stats.region_hist(self.region_stats()).select(F.lit("reg").alias("kind"), "value", "cnt")
-        depths = hist.unionByName(regional).agg(
+        depths = depth.facts(self.alignments, self.target, self.flank_set, o.mapq, o.refskip).agg(
             *[c for name in ("tgt", "rmdup", "flk", "reg") for c in self._covered(name)], *[_sum("cnt", name).alias(f"{name}_len") for name in ("tgt", "flk")],
-            F.collect_list(F.when(F.col("kind") == "tgt", F.struct("value", "cnt"))).alias("_h"),
+            *[F.coalesce(_sum("cnt", name), F.lit(0)).alias(name) for name in ("n_tgt", "n_flk")], F.collect_list(F.when(F.col("kind") == "tgt", F.struct("value", "cnt"))).alias("_h"),
         )
         parts = [
             reads.flagstat(self.alignments, o.mapq),
             reads.insert_hist(self.alignments, o.isize_limit).agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("isize_avg"), F.expr(median).alias("isize_median")),
-            self.target_reads().agg(F.count("*").alias("n_tgt")),
-            depth.overlapping(self.alignments, self.flank_set).agg(F.count("*").alias("n_flk")),
             self.target.agg(F.count("*").alias("n_regions")),
             depths.withColumns(dict(self._ratios())).withColumnRenamed("reg_data", "reg_depth_sum").drop("_h"),
         ]

@@ -1,7 +1,10 @@
 """Hand-checked cases: the micro fixture, the quirks, files and the command line."""
 
+import collections
 import gzip
 import json
+import random
+import re
 
 import pytest
 
@@ -312,3 +315,62 @@ def test_merge_over_borders_of_bins(spark):
     r = spark.createDataFrame(rows, REGIONS)
     want = {("c", 0, 30), ("c", 33, 33), ("c", 40, 41), ("c", 47, 48), ("c", 64, 64), ("d", -1, 3), ("d", 5, 70), ("d", 80, 96), ("d", 97, 99)}
     assert all(as_set(intervals.merge(r, bins)) == want and intervals.merge(r, bins).count() == len(want) for bins in (1, 4, 16, 1 << 14))
+
+
+def written(spark, run):
+    """What run() gives, and how many records it wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (every.apply(i) for i in range(every.size()))}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.fixture(scope="module")
+def deep(spark, tmp_path_factory):
+    """40,000 reads over three bins with regions on both sides of borders, some reads in many copies, some over several bins; the depths by position."""
+    rng = random.Random(5)
+    shapes = ["50M", "10M2D40M", "5S15M3I20M", "12=40N18X", "1M", "*", "20M30000D5M", "9M"]
+    rows = [("c1", rng.randrange(40_000), rng.choice([0, 16, 1024, 512, 256, 4]), rng.randrange(61), 50, "*", 0, rng.choices(shapes, [30, 20, 20, 10, 5, 1, 0.02, 10])[0]) for _ in range(20_000)]
+    rows += [("c1", 16_370, 0, 60, 20, "*", 0, "20M")] * 20_000
+    regions = [("c1", 0, 5), ("c1", 100, 900), ("c1", 16_000, 16_384), ("c1", 16_384, 16_500), ("c1", 32_768, 32_769), ("c1", 70_000, 70_050), ("c2", 10, 20)]
+    depths = collections.defaultdict(lambda: [0, 0, 0])
+    hulls = []
+    for _, pos, flag, mapq, _, _, _, cigar in rows:
+        if flag & 256 or flag == 4:
+            continue
+        at, far = pos + 1, 0
+        for size, op in re.findall(r"(\d+)([A-Z=])", cigar):
+            far += int(size) if op in "MDN=X" else 0
+            if op in "MD=X":
+                for p in range(at, at + int(size)):
+                    d = depths[p]
+                    d[0] += op != "D"
+                    d[1] += op != "D" and flag != 1024 and mapq >= 20
+                    d[2] += 1
+                at += int(size)
+        hulls.append((pos, pos + max(1, far)))
+    at = str(tmp_path_factory.mktemp("deep") / "reads")
+    spark.createDataFrame(rows, READS).repartition(3).write.parquet(at)
+    return spark.read.parquet(at), spark.createDataFrame(regions, REGIONS), depths, hulls
+
+
+def test_report_counts_reads_in_the_sweep(spark, deep):
+    r, b, depths, hulls = deep
+    chroms = spark.createDataFrame([(0, "c1", 100_000), (1, "c2", 500)], CHROMS)
+    run = Coverage(r, b, chroms, Options(cutoffs=(2,)))
+    m, n = written(spark, lambda: run.metrics().first().asDict())
+    assert n < 2_500
+    target, flank = ([(s, e) for c, s, e in as_set(x) if c == "c1"] for x in (run.target, run.flank_set))
+    meets = lambda sets: sum(any(s < e2 and s2 < e for s2, e2 in sets) for s, e in hulls)
+    assert (m["n_tgt"], m["n_flk"]) == (meets(target), meets(flank)) == (depth.overlapping(r, run.target).count(), depth.overlapping(r, run.flank_set).count())
+    at = lambda sets, i: [depths[p][i] for s, e in sets for p in range(s + 1, e + 1)]
+    assert (m["tgt_data"], m["rmdup_data"], m["flk_data"]) == (sum(at(target, 2)), sum(at(target, 1)), sum(at(flank, 0)))
+    assert (m["tgt_len"], m["tgt_covered"], m["flk_covered"]) == (len(at(target, 2)) + 10, sum(x > 0 for x in at(target, 2)), sum(x > 0 for x in at(flank, 0)))
+    means = [sum(x) // len(x) for x in (at([i], 0) for i in target)]
+    assert (m["reg_depth_sum"], m["reg_covered"]) == (sum(means), sum(x > 0 for x in means))
