@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pileflow import cli
 from pileflow.functions.formats import fixed
@@ -374,3 +375,11 @@ def test_report_counts_reads_in_the_sweep(spark, deep):
     assert (m["tgt_len"], m["tgt_covered"], m["flk_covered"]) == (len(at(target, 2)) + 10, sum(x > 0 for x in at(target, 2)), sum(x > 0 for x in at(flank, 0)))
     means = [sum(x) // len(x) for x in (at([i], 0) for i in target)]
     assert (m["reg_depth_sum"], m["reg_covered"]) == (sum(means), sum(x > 0 for x in means))
+
+
+def test_report_as_json_shuffles_few_rows(spark, deep):
+    run = Coverage(deep[0], deep[1], None, Options())
+    names = ["n_reads", "n_mapped", "n_tgt", "tgt_len", "tgt_data", "rmdup_data"]
+    got, n = written(spark, lambda: run.metrics().select(F.to_json(F.struct(*names)).alias("report")).first().report)
+    whole = run.metrics().first().asDict()
+    assert json.loads(got) == {c: whole[c] for c in names} and n < 2_500
