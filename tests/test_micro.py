@@ -383,3 +383,27 @@ def test_report_as_json_shuffles_few_rows(spark, deep):
     got, n = written(spark, lambda: run.metrics().select(F.to_json(F.struct(*names)).alias("report")).first().report)
     whole = run.metrics().first().asDict()
     assert json.loads(got) == {c: whole[c] for c in names} and n < 2_500
+
+
+FIGURES = {
+    "flank_depth": lambda s: stats.depth_hist(s, "raw"),
+}
+
+
+@pytest.mark.parametrize("name", FIGURES)
+def test_figures_of_many_reads_shuffle_few_rows(spark, deep, name):
+    r, b, *_ = deep
+    got, n = written(spark, lambda: FIGURES[name](depth.segments(r, intervals.merge(intervals.extend(b, 200, 200) if name == "flank_depth" else b))).collect())
+    # a row for each bin's packed blocks, and after them one a region or a depth of one task
+    assert got and n < 5_000
+
+
+def test_tasks_grow_with_the_reads(spark, deep, tmp_path, monkeypatch):
+    r, b, *_ = deep
+    for i in range(3):
+        r.coalesce(1).write.parquet(str(tmp_path / f"s/{i}"))
+    size = [sum(x.stat().st_size for x in (tmp_path / f"s/{i}").glob("*.parquet")) for i in range(3)]
+    at = lambda n: depth.segments(spark.read.parquet(*[str(tmp_path / f"s/{i}") for i in range(n)]), b).rdd.getNumPartitions()
+    assert at(3) == 8
+    monkeypatch.setattr(depth, "SHARE", size[0] // 20)
+    assert 20 <= at(1) < 25 and 60 <= at(3) < 70
