@@ -407,3 +407,16 @@ def test_tasks_grow_with_the_reads(spark, deep, tmp_path, monkeypatch):
     assert at(3) == 8
     monkeypatch.setattr(depth, "SHARE", size[0] // 20)
     assert 20 <= at(1) < 25 and 60 <= at(3) < 70
+
+
+def test_depths_of_many_reads_are_shuffled_by_bin(spark, deep):
+    r, b, depths, _ = deep
+    target = intervals.merge(b)
+    want = {("c1", p): tuple(depths[p]) for _, start, stop in as_set(target) - {("c2", 10, 20)} for p in range(start + 1, stop + 1)} | {("c2", p): (0, 0, 0) for p in range(11, 21)}
+    segs = depth.segments(r, target)
+    for rows_a_batch in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        got, n = written(spark, lambda: depth.positions(segs).collect())
+        assert len(got) == len(want) and {(x.chrom, x.pos): (x.raw, x.rmdup, x.cover) for x in got} == want
+        assert n < 600
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
