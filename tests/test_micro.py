@@ -388,6 +388,7 @@ def test_report_as_json_shuffles_few_rows(spark, deep):
 FIGURES = {
     "flank_depth": lambda s: stats.depth_hist(s, "raw"),
     "chrom_hist": stats.chrom_hist,
+    "chrom_report": lambda s: stats.chrom_report(stats.chrom_hist(s)),
 }
 
 
