@@ -389,6 +389,7 @@ FIGURES = {
     "flank_depth": lambda s: stats.depth_hist(s, "raw"),
     "chrom_hist": stats.chrom_hist,
     "chrom_report": lambda s: stats.chrom_report(stats.chrom_hist(s)),
+    "coverage_avg": lambda s: stats.coverage_ratio(stats.depth_hist(s), strict=False),
 }
 
 
