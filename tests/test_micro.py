@@ -391,6 +391,7 @@ FIGURES = {
     "chrom_report": lambda s: stats.chrom_report(stats.chrom_hist(s)),
     "coverage_avg": lambda s: stats.coverage_ratio(stats.depth_hist(s), strict=False),
     "coverage_cutoffs": lambda s: stats.coverage_at(stats.depth_hist(s), (2, 20)),
+    "coverage_ratio": lambda s: stats.coverage_ratio(stats.depth_hist(s)),
 }
 
 
