@@ -393,6 +393,7 @@ FIGURES = {
     "coverage_cutoffs": lambda s: stats.coverage_at(stats.depth_hist(s), (2, 20)),
     "coverage_ratio": lambda s: stats.coverage_ratio(stats.depth_hist(s)),
     "coverage_rmdup": lambda s: stats.coverage_at(stats.depth_hist(s, "rmdup")),
+    "coverage_thresholds": lambda s: stats.coverage_at(stats.depth_hist(s)),
 }
 
 
