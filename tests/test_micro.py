@@ -394,6 +394,7 @@ FIGURES = {
     "coverage_ratio": lambda s: stats.coverage_ratio(stats.depth_hist(s)),
     "coverage_rmdup": lambda s: stats.coverage_at(stats.depth_hist(s, "rmdup")),
     "coverage_thresholds": lambda s: stats.coverage_at(stats.depth_hist(s)),
+    "depth_cumu": lambda s: stats.cumulative(stats.depth_hist(s)),
 }
 
 
