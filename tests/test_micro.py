@@ -395,6 +395,7 @@ FIGURES = {
     "coverage_rmdup": lambda s: stats.coverage_at(stats.depth_hist(s, "rmdup")),
     "coverage_thresholds": lambda s: stats.coverage_at(stats.depth_hist(s)),
     "depth_cumu": lambda s: stats.cumulative(stats.depth_hist(s)),
+    "depth_hist": stats.depth_hist,
 }
 
 
