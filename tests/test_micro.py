@@ -396,6 +396,7 @@ FIGURES = {
     "coverage_thresholds": lambda s: stats.coverage_at(stats.depth_hist(s)),
     "depth_cumu": lambda s: stats.cumulative(stats.depth_hist(s)),
     "depth_hist": stats.depth_hist,
+    "depth_stats": lambda s: stats.hist_center(stats.depth_hist(s)),
 }
 
 
