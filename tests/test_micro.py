@@ -397,6 +397,7 @@ FIGURES = {
     "depth_cumu": lambda s: stats.cumulative(stats.depth_hist(s)),
     "depth_hist": stats.depth_hist,
     "depth_stats": lambda s: stats.hist_center(stats.depth_hist(s)),
+    "rmdup_hist": lambda s: stats.depth_hist(s, "rmdup"),
 }
 
 
