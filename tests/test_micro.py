@@ -398,6 +398,7 @@ FIGURES = {
     "depth_hist": stats.depth_hist,
     "depth_stats": lambda s: stats.hist_center(stats.depth_hist(s)),
     "rmdup_hist": lambda s: stats.depth_hist(s, "rmdup"),
+    "uncover": stats.uncovered,
 }
 
 
