@@ -399,6 +399,7 @@ FIGURES = {
     "depth_stats": lambda s: stats.hist_center(stats.depth_hist(s)),
     "rmdup_hist": lambda s: stats.depth_hist(s, "rmdup"),
     "uncover": stats.uncovered,
+    "depth_segments": lambda s: s.groupBy("chrom", "start", "stop").count(),
 }
 
 
