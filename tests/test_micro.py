@@ -400,6 +400,7 @@ FIGURES = {
     "rmdup_hist": lambda s: stats.depth_hist(s, "rmdup"),
     "uncover": stats.uncovered,
     "depth_segments": lambda s: s.groupBy("chrom", "start", "stop").count(),
+    "region_stats": stats.region_stats,
 }
 
 
