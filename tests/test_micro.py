@@ -401,6 +401,7 @@ FIGURES = {
     "uncover": stats.uncovered,
     "depth_segments": lambda s: s.groupBy("chrom", "start", "stop").count(),
     "region_stats": stats.region_stats,
+    "region_stats_compat": lambda s: stats.region_stats(s, True),
 }
 
 
