@@ -402,6 +402,7 @@ FIGURES = {
     "depth_segments": lambda s: s.groupBy("chrom", "start", "stop").count(),
     "region_stats": stats.region_stats,
     "region_stats_compat": lambda s: stats.region_stats(s, True),
+    "region_coverage": lambda s: stats.coverage_at(stats.region_hist(stats.region_stats(s))),
 }
 
 
